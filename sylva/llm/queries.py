@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ogg, packing
+from . import bpe, exact_dedup, ogg, packing, toxicity
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read(spark, sf_dir, "documents"), tokenizer())
 
@@ -33,7 +37,7 @@ def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op5_packing, op7_bpe, op8_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op5_packing, op6_toxicity, op7_bpe, op8_ogg)}
 
 ORACLES = {
     "op3_exact_dedup": """
