@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ogg, packing, toxicity
+from . import bpe, exact_dedup, langid, ogg, packing, quality, toxicity
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,10 +17,18 @@ def tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer())
 
@@ -37,7 +45,7 @@ def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op5_packing, op6_toxicity, op7_bpe, op8_ogg)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_language, op5_packing, op6_toxicity, op7_bpe, op8_ogg)}
 
 ORACLES = {
     "op3_exact_dedup": """
