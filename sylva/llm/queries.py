@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, lm, ogg, packing, quality, toxicity
+from . import bpe, exact_dedup, langid, lm, ogg, packing, quality, suffix, toxicity
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_language, op5_packing, op6_toxicity, op7_bpe, op8_ogg, op10_lm)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_exact_dedup, op4_language, op5_packing, op6_toxicity, op7_bpe, op8_ogg, op10_lm)}
 
 ORACLES = {
     "op3_exact_dedup": """
