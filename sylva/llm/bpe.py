@@ -2,8 +2,8 @@
 
 Of all ways to cut a word into tokens, the merges choose the one in which every two neighbours are compatible:
 the merges, run on the two neighbours' text alone, give these two tokens again. So the encoder takes the
-longest token at each place, checks it against the token before, and steps back where nothing fits; a place
-from which the word's end can't be reached is noted, so no place is tried twice and the time is linear.
+longest token at each place, checks it against the token before, and steps back where nothing fits. Each token
+is tried once at each place, so the time is linear.
 
 The words are those of the vocabulary's own normaliser (NFC, white space, lower case) and splitting pattern.
 As no word holds white space, texts are cut there first and each distinct piece is encoded once per worker,
@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,7 +31,8 @@ from .common import docs_of, small_batches
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END = "</w>"
 SPACE = regex.compile("[\t\n\v\f\r \x85\xa0  -     　]+")
-NOT_SPACE = regex.compile("[\x1c-\x1f]")  # str.split() cuts there, the pattern's white space doesn't
+NOT_SPACE = "\x1c\x1d\x1e\x1f"  # str.split() cuts there, the pattern's white space doesn't
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 LAST = 0x1000  # added to the last character of a word: one character for "x" + END
 
 
@@ -70,19 +73,27 @@ class Vocabulary:
         self.fits: dict[tuple[int, int], bool] = {}
         self.length = [0] * size
         self.whole: dict[str, int] = {}
-        self.machine = Automaton()
+        self.single: dict[str, int] = {}
+        self.machine = Automaton()  # of all tokens of two symbols or more
         for token, i in ids.items():
             if token not in self.special and (self.parts[i] is None or self.stands(*self.parts[i])):
                 key = self.packed(token)
                 self.whole[key] = i
                 self.length[i] = len(key)
-                self.machine.add_word(key, i)
+                if len(key) == 1:
+                    self.single[key] = i
+                else:
+                    self.machine.add_word(key, i)
         self.machine.make_automaton()
-        self.words = Lately(lambda word: tuple(self.word(self.symbols(word))), 250_000)
+        self.bytes_table = str.maketrans({chr(i): c for i, c in enumerate(self.bytes) if chr(i) != c})
+        self.ends = {c: chr(ord(c) + LAST) for c in self.bytes}
+        self.words = Lately(lambda word: self.word(self.symbols(word)), 500_000)
 
     def symbols(self, word: str) -> str:
-        s = "".join([self.bytes[b] for b in word.encode()])
-        return s[:-1] + chr(ord(s[-1]) + LAST)
+        """A word with one character for each byte, the last one marked."""
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.bytes_table)
+        return word[:-1] + self.ends[word[-1]]
 
     @staticmethod
     def packed(token: str) -> str:
@@ -120,43 +131,51 @@ class Vocabulary:
             known = self.fits[a, b] = self.apart(a, b)
         return known
 
-    def word(self, packed: str) -> list[int]:
+    def word(self, packed: str) -> tuple[int, ...]:
         """The tokens of one word."""
-        if packed in self.whole:
-            return [self.whole[packed]]
+        single = self.whole.get(packed)
+        if single is not None:
+            return (single,)
+        length, fits, single = self.length, self.fits, self.single
         n = len(packed)
-        at: list[list[int]] = [[] for _ in range(n)]  # tokens that begin at each place, shortest first
+        at = [[single[c]] for c in packed]  # tokens that begin at each place and are yet to be tried, longest last
         for end, token in self.machine.iter(packed):
-            at[end + 1 - self.length[token]].append(token)
+            at[end + 1 - length[token]].append(token)
         out: list[int] = []
-        place, left, dead = 0, [len(x) for x in at], [False] * (n + 1)
+        place, last = 0, -1
         while place < n:
             options = at[place]
-            while left[place]:
-                left[place] -= 1
-                token = options[left[place]]
-                if not dead[place + self.length[token]] and (not out or self.compatible(out[-1], token)):
+            while options:
+                token = options.pop()
+                fit = True if last < 0 else fits.get((last, token))
+                if fit or (fit is None and self.compatible(last, token)):
                     out.append(token)
-                    place += self.length[token]
+                    place += length[token]
+                    last = token
                     break
-            else:
+            else:  # a step back; as all options of this place are used up, it is not entered again
                 if not out:
                     raise ValueError(f"no tokens for {packed!r}")
-                dead[place] = True
-                place -= self.length[out.pop()]
-        return out
+                place -= length[out.pop()]
+                last = out[-1] if out else -1
+        return tuple(out)
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """The tokens of a text without special tokens."""
-        text = SPACE.sub(" ", unicodedata.normalize("NFC", piece)).replace("Σ", "σ").lower()
-        words = WORDS.findall(text)
-        return self.words[words[0]] if len(words) == 1 else tuple([i for w in words for i in self.words[w]])
+        text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        if text.isalpha():  # letters only, or followed by one mark: what the pattern would find
+            return self.words[text]
+        if text[:-1].isalpha() and text[-1] in ".,!?;:|":
+            return self.words[text[:-1]] + self.words[text[-1]]
+        return tuple([i for w in WORDS.findall(text) for i in self.words[w]])
 
     def pieces(self, text: str) -> list[str]:
         """The text cut where no token goes across; special tokens are pieces of their own."""
-        if self.cut is not None and self.cut.search(text):
+        if any([t in text for t in self.special]):
             return [p for part in self.cut.split(text) for p in ([part] if part in self.special else self.pieces(part))]
-        return [p for p in SPACE.split(text) if p] if NOT_SPACE.search(text) else text.split()
+        if any([c in text for c in NOT_SPACE]):
+            return [p for p in SPACE.split(text) if p]
+        return text.split()
 
     def tokens(self, piece: str) -> tuple[int, ...]:
         return (self.special[piece],) if piece in self.special else self.piece(piece)
@@ -201,9 +220,9 @@ def pieces(path: str, kind: str) -> Lately:
     v = vocabulary(path)
     render = {
         "text": lambda ids: (" ".join(map(str, ids)), len(ids), v.decode(ids)),
-        "bytes": lambda ids: b"".join([i.to_bytes(4, "little") for i in ids]),
+        "bytes": lambda ids: array("I", ids).tobytes() if LITTLE else b"".join([i.to_bytes(4, "little") for i in ids]),
     }[kind]
-    return Lately(lambda piece: render(v.tokens(piece)), 200_000)
+    return Lately(lambda piece: render(v.tokens(piece)), 400_000)
 
 
 def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
