@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Lately
 from .common import docs_of, fold, forget, small_batches, stored
 
 #: Marks of quotation, and words of reporting in the languages of the tests.
@@ -124,15 +125,18 @@ class Finder:
     def __init__(self, model: Model):
         self.model = model
         self.machine = Machine(sorted(w for w in model.weights if not w.endswith("*")))
-        self.known: dict[str, tuple | None] = {}
+        self.stems = {w[:-1] for w in model.weights if w.endswith("*")}
+        self.known = Lately(self.of_piece, 400_000)
 
     def of_word(self, word: str) -> tuple[str, float, int] | None:
         """(term, weight, edits)"""
         weights = self.model.weights
         if word in weights:
             return word, weights[word], 0
-        found = [(weights[s], s) for n in STEMS if len(word) >= n and (s := word[:n] + "*") in weights]
-        best = max(found, default=None)
+        best = None
+        for n in STEMS:
+            if word[:n] in self.stems and len(word) >= n:
+                best = max(best or (0.0, ""), (weights[word[:n] + "*"], word[:n] + "*"))
         near = self.machine.nearest(word) if word not in self.model.harmless and len(word) < 40 else None
         if near and near[0]:
             term = self.machine.terms[near[1]]
@@ -141,31 +145,26 @@ class Finder:
                 return term, weight, near[0]
         return (best[1], best[0], 0) if best else None
 
-    def of_piece(self, piece: str) -> tuple[str, float, int, str] | None:
+    def of_piece(self, piece: str) -> tuple:
         """The strongest hit in a piece of text without white space; the last value is the word itself."""
-        words = WORD.findall(piece)
-        core = EDGE.sub("", piece)
-        if core not in words:
-            words.append(core)
+        if piece.isalpha():
+            words = [piece]
+        elif piece[:-1].isalpha():
+            words = [piece[:-1]]
+        else:
+            words = WORD.findall(piece)
+            core = EDGE.sub("", piece)
+            if core not in words:
+                words.append(core)
         hits = [(*h, w) for w in words if (h := self.of_word(w))]
-        return max(hits, key=lambda h: h[1]) if hits else None
+        return max(hits, key=lambda h: h[1]) if hits else ()
 
     def hits(self, text: str | None) -> tuple[list[tuple], int]:
         """((term, weight, edits, word, mention) ..., number of pieces); mention: by its context it is quoted or reported."""
         pieces = (text or "").lower().split()
-        known, out = self.known, []
-        if len(known) > 400_000:
-            known.clear()
-        get = known.get
-        for i, piece in enumerate(pieces):
-            hit = get(piece, 0)
-            if hit == 0:
-                hit = self.of_piece(piece)
-                if len(piece) <= 64:
-                    known[piece] = hit
-            if hit is not None:
-                out.append((*hit, self.mention(pieces, i)))
-        return out, len(pieces)
+        known = self.known
+        found = [known[p] for p in pieces]
+        return [(*hit, self.mention(pieces, i)) for i, hit in enumerate(found) if hit], len(pieces)
 
     @staticmethod
     def mention(pieces: list[str], i: int) -> bool:
