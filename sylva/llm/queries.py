@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, lm, ogg, packing, quality, suffix, toxicity
+from . import bpe, exact_dedup, langid, lm, minhash, ogg, packing, quality, suffix, toxicity
 from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -49,11 +49,15 @@ def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(read(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_exact_dedup, op4_language, op5_packing, op6_toxicity, op7_bpe, op8_ogg, op10_lm)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_exact_dedup, op4_language, op5_packing, op6_toxicity, op7_bpe, op8_ogg, op9_minhash, op10_lm)}
 
 ORACLES = {
     "op3_exact_dedup": """

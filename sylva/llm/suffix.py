@@ -363,7 +363,7 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the bytes left), spans (array of start, end).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the bytes left), spans (array of start, end), one row per row of ``df``.
 
     Texts count as UTF-8; null texts are empty. Matches never cross documents; ids order documents, null ids last. A text
     shorter than ``width`` keeps all. Rows that repeat an id count as one document if their texts are equal; texts that differ
@@ -389,11 +389,27 @@ def remove_repeats(df: DataFrame, width: int = 100, id_col: str = "doc_id", text
     return docs.join(spans.hint("shuffle_hash"), "did", "left").select("did", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
 
 
-def without_repeats(docs: DataFrame, width: int = 100, least: int = 1) -> DataFrame:
-    """``docs`` with their repeated passages cut from ``text`` (at whole characters) and ``n_chars`` renewed where there is one; a document of which nothing but white space is left goes."""
-    kept = remove_repeats(docs, width).select(F.col("doc_id").alias("__id"), F.decode("kept", "UTF-8").alias("__text"))
-    kept = kept.groupBy("__id").agg(F.first("__text").alias("__text"))
-    out = docs.drop("text").join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"])).withColumn("text", F.regexp_replace("__text", "�", ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where(F.length(F.trim("text")) >= least).select(*docs.columns)
+def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``, and ``n_chars``, if it is a column, counted anew. All rows and other columns stay.
+
+    Where a cut splits a character, the rest of it goes too. A null text stays null.
+    """
+    small_batches(docs.sparkSession)
+    key = key_of(docs["doc_id"])
+    spans = repeated_spans(docs.select(key.alias("did"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")), width)
+    joined = docs.withColumn("__did", key).join(spans.select(F.col("did").alias("__of"), F.col("spans").alias("__spans")).hint("shuffle_hash"), F.col("__did") == F.col("__of"), "left").drop("__did", "__of")
+    names = docs.columns
+    text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, found in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                texts.append(kept_bytes(text.encode(), found)[0].decode("utf-8", "ignore") if found and text else text)
+            columns = list(b.columns[: len(names)])
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            if chars_at is not None:
+                columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(run, docs.schema)
