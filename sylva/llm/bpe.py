@@ -190,10 +190,14 @@ class Vocabulary:
 
 
 class Lately(dict):
-    """Results of ``make`` for the keys used lately: at ``limit`` keys a new generation begins, and the one before stays readable."""
+    """Results of ``make`` for the keys used lately: at ``limit`` keys a new generation begins, and the one before stays readable.
 
-    def __init__(self, make: Callable, limit: int, longest: int = 64):
+    twice: only keys that are met twice are kept, by a table of hashes seen; most keys of a text are met once.
+    """
+
+    def __init__(self, make: Callable, limit: int, longest: int = 64, twice: bool = False):
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+        self.seen = bytearray(1 << 22) if twice else None
 
     def __missing__(self, key: str):
         value = self.old.get(key)
@@ -201,9 +205,14 @@ class Lately(dict):
             value = self.make(key)
             if len(key) > self.longest:
                 return value
+            if self.seen is not None and not self.seen[at := hash(key) & 0x3FFFFF]:
+                self.seen[at] = 1
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
+            if self.seen is not None:
+                self.seen = bytearray(1 << 22)
         self[key] = value
         return value
 
@@ -222,7 +231,7 @@ def pieces(path: str, kind: str) -> Lately:
         "text": lambda ids: (" ".join(map(str, ids)), len(ids), v.decode(ids)),
         "bytes": lambda ids: array("I", ids).tobytes() if LITTLE else b"".join([i.to_bytes(4, "little") for i in ids]),
     }[kind]
-    return Lately(lambda piece: render(v.tokens(piece)), 400_000)
+    return Lately(lambda piece: render(v.tokens(piece)), 400_000, twice=True)
 
 
 def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

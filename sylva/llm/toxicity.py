@@ -174,11 +174,12 @@ class Finder:
         return any(EDGE.sub("", p) in REPORTING for p in (*before[:-1], *after[1:]))
 
     @staticmethod
-    def features(hits: list[tuple], n: int, harmless: frozenset[str] = frozenset()) -> tuple[float, float, float]:
+    def features(hits: list[tuple], n: int) -> tuple[float, float, float]:
+        """The strongest hit, the log of all distinct hits' weights, and their sum by the root of the length."""
         best: dict[str, float] = defaultdict(float)
-        for term, weight, edits, word, mention in hits:
-            if not (edits and word in harmless):
-                best[word if term.endswith("*") else term] = max(best[word if term.endswith("*") else term], weight * (MENTION if mention else 1))
+        for term, weight, _, word, mention in hits:
+            name = word if term.endswith("*") else term
+            best[name] = max(best[name], weight * (MENTION if mention else 1))
         total = sum(best.values())
         return max(best.values(), default=0.0), float(np.log1p(total)), total / (n + 1) ** 0.5
 
@@ -250,26 +251,40 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         return Model({})
     lift = F.log((F.col("with") + 0.5) / (size[1] + 1)) - F.log((F.col("without") + 0.5) / (size[0] + 1))
     found = term_counts(sample).where(F.col("with") >= support).withColumn("w", lift).where(F.col("w") >= odds).orderBy(F.desc(F.col("w") * F.log1p("with")), "term").limit(terms).collect()
-    model = Model({r["term"]: r["w"] for r in found})
+    model = Model(uncovered({r["term"]: r["w"] for r in found}))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        finder = Finder(model)
+    def near_words(batches) -> Iterator[pa.RecordBatch]:
+        finder, words = Finder(model), set()
         for b in batches:
-            rows = []
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                hits, n = finder.hits(text)
-                rows.append((y, n, list({tuple(map(str, h)) for h in hits})))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([[list(h) for h in r[2]] for r in rows], pa.list_(pa.list_(pa.string())))], ["y", "n", "hits"])
+                words.update(h[3] for h in finder.hits(text)[0] if h[2] and not y)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+
+    model.harmless = frozenset(r["word"] for r in sample.mapInArrow(near_words, "word string").distinct().collect())
+
+    def features(batches) -> Iterator[pa.RecordBatch]:
+        finder = Finder(model)
+        for b in batches:
+            rows = [Finder.features(*finder.hits(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(3))], ["y", "a", "b", "c"])
 
-    got = [(r["y"], r["n"], [(h[0], float(h[1]), int(h[2]), h[3], h[4] == "True") for h in r["hits"]]) for r in sample.mapInArrow(run, "y int, n long, hits array<array<string>>").collect()]
+    got = np.array([tuple(r) for r in sample.mapInArrow(features, "y int, a double, b double, c double").collect()], float)
     forget(sample)
-    model.harmless = frozenset(h[3] for y, _, hits in got if not y for h in hits if h[2])
-    x = np.array([Finder.features(hits, n, model.harmless) for _, n, hits in got])
-    y = np.array([float(r[0]) for r in got])
-    model.coefficients = logistic(x, y, np.ones(len(y)))
+    model.coefficients = logistic(got[:, 1:], got[:, 0], np.ones(len(got)))
     return model
 
 
+def uncovered(weights: dict[str, float], enough: float = 0.6) -> dict[str, float]:
+    """The terms without those that a stem of theirs stands for: one with at least ``enough`` of their weight."""
+    out: dict[str, float] = {}
+    for term, weight in sorted(weights.items(), key=lambda x: len(x[0].rstrip("*"))):
+        word = term.rstrip("*")
+        stems = [word[:n] + "*" for n in STEMS if n <= len(word) and word[:n] + "*" != term]
+        if not any(out.get(s, 0.0) >= enough * weight for s in stems):
+            out[term] = weight
+    return out
+
+
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", at: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= ``at``) of each whole text; null and empty texts hold no hits."""
 
