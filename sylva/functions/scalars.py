@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN = F.lit(float("nan"))
+NAN = float("nan")
 INFINITY = float("inf")
 SPACE = r"[ \t\r\n]+"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
