@@ -387,11 +387,11 @@ class Transform:
         nodes = self.engine.nodes
         attrs = found.where("aord > 0")
         out.append(attrs.select("out", "ord", "up", *made(N.ATTRIBUTE, local=F.col("local"), value=F.col("value"))))
-        tops = found.where("aord = 0").select(F.col("doc_id").alias("_d"), F.col("pre").alias("_top"), "out", "ord", "up")
+        tops = found.where("aord = 0").select(F.col("doc_id").alias("_d"), F.col("pre").alias("_top"), "out", F.col("ord").alias("_o"), F.col("up").alias("_u"))
         deep = nodes.select("*", F.explode(F.array_append("anc", F.col("pre"))).alias("_a")).join(tops, (F.col("doc_id") == F.col("_d")) & (F.col("_a") == F.col("_top")))
         line = F.filter("anc", lambda a: a >= F.col("_top"))
-        own = F.concat("ord", F.array("pre"))
-        rows = deep.where(F.col("kind") != N.ROOT).select("out", own.alias("ord"), F.concat("up", F.transform(line, lambda a: F.concat(F.col("ord"), F.array(a)))).alias("up"), "kind", "ns", "local", "value", "attrs")
+        own = F.concat("_o", F.array("pre"))
+        rows = deep.where(F.col("kind") != N.ROOT).select("out", own.alias("ord"), F.concat("_u", F.transform(line, lambda a: F.concat(F.col("_o"), F.array(a)))).alias("up"), "kind", "ns", "local", "value", "attrs")
         out.append(rows)
 
 

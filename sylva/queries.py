@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import ordering, updates, xslt
 from .plans.compile import Engine
+from .sources import markup
 from .sources import relational as R
+from .streaming import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +102,69 @@ of(R.chat, "many_documents", "/conv/turn[last()][@role='user']", "SELECT CAST(co
 @query("value_per_document", "SELECT conv_id AS doc_id, CAST(count(*) AS DOUBLE) AS value FROM conversations WHERE role = 'user' GROUP BY conv_id UNION ALL SELECT DISTINCT conv_id, 0.0 FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'user')")
 def value_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(R.chat(spark, sf_dir)).value("count(/conv/turn[@role='user'])")
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(R.orders(spark, sf_dir)).select("//order")
+
+
+@query("sort_text", "SELECT CAST(p_partkey AS VARCHAR) AS key, CAST(row_number() OVER (ORDER BY lower(p_name), p_name, p_partkey) AS INTEGER) AS rank FROM part")
+def sort_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(R.parts(spark, sf_dir))
+    return ordering.ranked(e.strings("//part/name"), [{"key": F.col("string")}]).select((F.shiftright("parent", R.SHIFT) - 1).cast("string").alias("key"), "rank")
+
+
+@query("sort_number_desc", "SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice, 2) DESC, o_orderkey) AS INTEGER) AS rank FROM orders")
+def sort_number_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_rows(spark, sf_dir).withColumn("cust", F.col("attrs")["cust"])
+    return ordering.ranked(rows, [{"key": F.col("attrs")["price"], "type": "number", "order": "descending"}], ["cust"]).select(F.col("attrs")["key"].alias("key"), "rank")
+
+
+@query("sort_multi_topk", "SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders ORDER BY lower(o_orderpriority), round(o_totalprice, 2) DESC, o_orderkey LIMIT 20")
+def sort_multi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = [{"key": F.col("attrs")["prio"]}, {"key": F.col("attrs")["price"], "type": "number", "order": "descending"}]
+    return order_rows(spark, sf_dir).orderBy(*ordering.sort_columns(keys), "pre").limit(20).select(F.col("attrs")["key"].alias("key"))
+
+
+@query("number_single", f"SELECT CAST(l_orderkey AS BIGINT) AS order_key, CAST(place AS INTEGER) AS number FROM {PLACED} JOIN orders ON l_orderkey = o_orderkey")
+def number_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = Engine(R.orders(spark, sf_dir)).select("//order/lineitem")
+    return ordering.number_single(nodes, "lineitem").select((F.shiftright("parent", R.SHIFT) - 1).alias("order_key"), F.col("number").cast("int").alias("number"))
+
+
+@query("view_groupby", "SELECT event_type AS \"group\", count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+def view_groupby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = R.tables(spark, sf_dir)("events")
+    journal = e.select(F.col("event_id").alias("seq"), F.lit("insert").alias("op"), F.lit(1).cast("long").alias("doc_id"), F.lit("event").alias("name"), F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("group"), "value")
+    return views.view(journal, "event", n=F.count(F.lit(1)), total=F.round(F.sum("value"), 2))
+
+
+@query("event_windows", "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = R.tables(spark, sf_dir)("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return views.windowed(e, "ts", "1 hour", "10 minutes", "event_type").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("page_titles")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = R.tables(spark, sf_dir)("pages")
+    return Engine(markup.shred(pages, "page_id", "html", "html", "normal")).strings("/html/head/title").select("doc_id", F.col("string").alias("title"))
+
+
+@query("page_links")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = R.tables(spark, sf_dir)("pages")
+    return Engine(markup.shred(pages, "page_id", "html", "html", "normal")).value("count(//a[starts-with(@href, '/')])")
+
+
+@query("xupdate_remove", "SELECT CAST(conv_id AS BIGINT) AS doc_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id UNION ALL SELECT DISTINCT conv_id, 0 FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'user')")
+def xupdate_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = updates.remove(Engine(R.chat(spark, sf_dir)), "/conv/turn[@role != 'user']")
+    return left.groupBy("doc_id").agg(F.count(F.when(F.col("local") == "turn", True)).alias("n"))
+
+
+@query("xslt_for_each", "SELECT CAST(conv_id AS BIGINT) AS doc_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def xslt_for_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = '<xsl:stylesheet version="1.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform"><xsl:template match="/"><o><xsl:for-each select="conv/turn"><xsl:if test="@role = \'user\'"><xsl:value-of select="."/></xsl:if></xsl:for-each></o></xsl:template></xsl:stylesheet>'
+    out = markup.serialize(xslt.transform(R.chat(spark, sf_dir), sheet), "text")
+    return out.where("text <> ''")
