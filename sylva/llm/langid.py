@@ -84,8 +84,7 @@ class Parser:
             for i, row in enumerate(moves):
                 for c, s in row.items():
                     table[i, c] = (offset + s) * self.width * 2
-            for c, s in moves[0].items():
-                table[0, c] = (offset + s) * self.width * 2
+            table[0] = begin  # the start is where a text begins, or where a letter was that begins no phrase
             tables.append(table.ravel())
             self.starts.append(offset * self.width)
             self.bits.append(np.log2(max(2, len(symbols))))
@@ -117,7 +116,7 @@ class Parser:
             grid[: len(lanes[i]), column] = lanes[i]
         live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")  # lanes longer than each step
         state = np.repeat(np.array(self.starts, self.table.dtype)[:, None], len(lanes), 1)
-        count = np.ones((len(self.languages), len(lanes)), np.int32)
+        count = np.zeros((len(self.languages), len(lanes)), np.int32)
         for step in range(int(sizes[0])):
             k = live[step]
             move = self.table.take(state[:, :k] + grid[step, :k])
