@@ -40,7 +40,7 @@ def of(tree: Callable[[SparkSession, str], DataFrame], query_name: str, expressi
     ORACLES[query_name] = sql
 
 
-ITEM = {"order_key": "number(../@key)", "n": "number(@n)", "qty": "number(@qty)"}
+ITEM = {"order_key": "number(parent::order/@key)", "n": "number(@n)", "qty": "number(@qty)"}
 OWN = {"key": "number(@key)"}
 PART = {"key": "number(@key)"}
 ITEM_SQL = "CAST(o_orderkey AS DOUBLE) AS order_key, CAST(l_linenumber AS DOUBLE) AS n, l_quantity AS qty"
