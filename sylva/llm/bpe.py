@@ -6,8 +6,8 @@ longest token at each place, checks it against the token before, and steps back
 is tried once at each place, so the time is linear.
 
 The words are those of the vocabulary's own normaliser (NFC, white space, lower case) and splitting pattern.
-As no word holds white space, texts are cut there first and each distinct piece is encoded once per worker,
-in a table of bounded size.
+As no word holds white space, texts are cut there first: Arrow cuts a batch and numbers its distinct pieces, which are
+encoded once each, with a table of bounded size for those met in other batches, and numpy puts the texts together again.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from ahocorasick import Automaton
 from pyspark.sql import DataFrame
@@ -33,9 +35,15 @@ END = "</w>"
 SPACE = regex.compile("[\t\n\v\f\r \x85\xa0  -     　]+")
 NOT_SPACE = "\x1c\x1d\x1e\x1f"  # str.split() cuts there, the pattern's white space doesn't
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+MARKS = ".,!?;:|"
 LAST = 0x1000  # added to the last character of a word: one character for "x" + END
 
 
+def as_bytes(ids) -> bytes:
+    """32-bit little-endian: small, and not the garbage collector's concern."""
+    return array("I", ids).tobytes() if LITTLE else b"".join([i.to_bytes(4, "little") for i in ids])
+
+
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,7 +78,7 @@ class Vocabulary:
             self.rank.setdefault((one, two), r)
             if self.parts[both] is None:
                 self.made[both], self.parts[both] = r, (one, two)
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.length = [0] * size
         self.whole: dict[str, int] = {}
         self.single: dict[str, int] = {}
@@ -87,7 +95,9 @@ class Vocabulary:
         self.machine.make_automaton()
         self.bytes_table = str.maketrans({chr(i): c for i, c in enumerate(self.bytes) if chr(i) != c})
         self.ends = {c: chr(ord(c) + LAST) for c in self.bytes}
-        self.words = Lately(lambda word: self.word(self.symbols(word)), 500_000)
+        self.words = Lately(lambda word: as_bytes(self.word(self.symbols(word))), 500_000)
+        #: whether letters, or letters and one mark, hold no special token
+        self.plain = all(sum(not c.isalpha() for c in t) > 1 for t in self.special)
 
     def symbols(self, word: str) -> str:
         """A word with one character for each byte, the last one marked."""
@@ -126,9 +136,11 @@ class Vocabulary:
                 return True
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 32 | b)
         if known is None:
-            known = self.fits[a, b] = self.apart(a, b)
+            if len(self.fits) >= 500_000:  # a bounded table
+                self.fits.clear()
+            known = self.fits[a << 32 | b] = self.apart(a, b)
         return known
 
     def word(self, packed: str) -> tuple[int, ...]:
@@ -138,6 +150,28 @@ class Vocabulary:
             return (single,)
         length, fits, single = self.length, self.fits, self.single
         n = len(packed)
+        if n < 3:
+            return self.stepped(packed)
+        # the longest match from each place on: right if all neighbours fit, as only one way of cutting does
+        out: list[int] = []
+        place, last = 0, -1
+        for end, token in self.machine.iter_long(packed):
+            while place + length[token] <= end:  # symbols between matches
+                x = single[packed[place]]
+                if last >= 0 and not ((fit := fits.get(last << 32 | x)) or (fit is None and self.compatible(last, x))):
+                    return self.stepped(packed)
+                out.append(last := x)
+                place += 1
+            if last >= 0 and not ((fit := fits.get(last << 32 | token)) or (fit is None and self.compatible(last, token))):
+                return self.stepped(packed)
+            out.append(last := token)
+            place = end + 1
+        return tuple(out) if place == n else self.stepped(packed)
+
+    def stepped(self, packed: str) -> tuple[int, ...]:
+        """The tokens of a word, with steps back."""
+        length, fits, single = self.length, self.fits, self.single
+        n = len(packed)
         at = [[single[c]] for c in packed]  # tokens that begin at each place and are yet to be tried, longest last
         for end, token in self.machine.iter(packed):
             at[end + 1 - length[token]].append(token)
@@ -147,7 +181,7 @@ class Vocabulary:
             options = at[place]
             while options:
                 token = options.pop()
-                fit = True if last < 0 else fits.get((last, token))
+                fit = True if last < 0 else fits.get(last << 32 | token)
                 if fit or (fit is None and self.compatible(last, token)):
                     out.append(token)
                     place += length[token]
@@ -160,14 +194,14 @@ class Vocabulary:
                 last = out[-1] if out else -1
         return tuple(out)
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """The tokens of a text without special tokens."""
+    def piece(self, piece: str) -> bytes:
+        """The ids of a text without special tokens, as in ``as_bytes``."""
         text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
         if text.isalpha():  # letters only, or followed by one mark: what the pattern would find
             return self.words[text]
-        if text[:-1].isalpha() and text[-1] in ".,!?;:|":
+        if text[:-1].isalpha() and text[-1] in MARKS:
             return self.words[text[:-1]] + self.words[text[-1]]
-        return tuple([i for w in WORDS.findall(text) for i in self.words[w]])
+        return b"".join([self.words[w] for w in WORDS.findall(text)])
 
     def pieces(self, text: str) -> list[str]:
         """The text cut where no token goes across; special tokens are pieces of their own."""
@@ -177,11 +211,14 @@ class Vocabulary:
             return [p for p in SPACE.split(text) if p]
         return text.split()
 
-    def tokens(self, piece: str) -> tuple[int, ...]:
-        return (self.special[piece],) if piece in self.special else self.piece(piece)
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text, as in ``as_bytes``."""
+        if self.plain and text[:-1].isalpha() and (text[-1] in MARKS or text[-1].isalpha()):
+            return self.piece(text)
+        return b"".join([as_bytes([self.special[p]]) if p in self.special else self.piece(p) for p in self.pieces(text)])
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in self.pieces(text or "") for i in self.tokens(p)]
+        return np.frombuffer(self.encoded(text or ""), "<u4").tolist()
 
     def decode(self, ids) -> str:
         """The tokens' texts with spaces between: such a vocabulary has no decoder of its own."""
@@ -227,11 +264,52 @@ def vocabulary(path: str) -> Vocabulary:
 def pieces(path: str, kind: str) -> Lately:
     """What ``kind`` keeps of each piece's tokens."""
     v = vocabulary(path)
-    render = {
-        "text": lambda ids: (" ".join(map(str, ids)), len(ids), v.decode(ids)),
-        "bytes": lambda ids: array("I", ids).tobytes() if LITTLE else b"".join([i.to_bytes(4, "little") for i in ids]),
-    }[kind]
-    return Lately(lambda piece: render(v.tokens(piece)), 400_000, twice=True)
+
+    def text(piece: str) -> tuple[str, int, str]:
+        ids = v.encode(piece)
+        return " ".join(map(str, ids)), len(ids), v.decode(ids)
+
+    return Lately({"text": text, "bytes": v.encoded}[kind], 400_000, twice=True)
+
+
+def slices(batches, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text, or of one longer text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        at = 0
+        for i, n in enumerate(pc.binary_length(b.column("text")).fill_null(0).to_pylist()):
+            if size and size + n > most:
+                yield pa.concat_batches([*held, b.slice(at, i - at)])
+                held, at, size = [], i, 0
+            size += n
+        held.append(b.slice(at))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Where each text's pieces begin (and the last one's end), the number of each piece, and the distinct pieces by number.
+
+    Texts are cut at ASCII white space, across which no token goes; a null text has one empty piece.
+    """
+    lists = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    return offsets - offsets[0], found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+
+
+def batch_ids(texts: pa.Array, known: Lately) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's ids begin (and the last one's end), and all ids. known: ``pieces`` of the kind "bytes"."""
+    offsets, codes, distinct = numbered(texts)
+    found = [known[p] for p in distinct]
+    sizes = np.array([len(x) // 4 for x in found], np.int64)
+    flat = np.frombuffer(b"".join(found), "<u4")
+    ends = np.append(0, np.cumsum(sizes[codes]))
+    first = (np.cumsum(sizes) - sizes)[codes]  # of each piece among the distinct ones' ids
+    place = np.repeat(first - ends[:-1], sizes[codes])
+    place += np.arange(ends[-1])
+    return ends[offsets], flat[place]
 
 
 def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,15 +333,20 @@ def token_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         known = pieces(path, "text")
-        cut = vocabulary(path).pieces
-        for b in batches:
-            n, ids, decoded = [], [], []
-            for text in b.column("text").to_pylist():
-                found = [known[p] for p in cut(text or "")]
-                n.append(sum([x[1] for x in found]))
-                ids.append(hashlib.sha256(" ".join([x[0] for x in found]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in slices(batches):
+            offsets, codes, distinct = numbered(b.column("text"))
+            found = [known[p] for p in distinct]
+            sizes = np.array([x[1] for x in found], np.int64)
+            if not sizes.all():  # no separator around a piece without tokens
+                some = sizes[codes] > 0
+                offsets, codes = np.append(0, np.cumsum(some))[offsets], codes[some]
+            ends = np.append(0, np.cumsum(sizes[codes]))[offsets]
+            digests = []
+            for part in (0, 2):
+                each = pa.array([x[part] for x in found], pa.large_string()).take(pa.array(codes))
+                joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), each), pa.scalar(" ", pa.large_string()))
+                digests.append(pa.array([hashlib.sha256(t).hexdigest() for t in joined.cast(pa.large_binary()).to_pylist()], pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ends)), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(df.sparkSession)
     return docs_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

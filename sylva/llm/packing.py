@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import pieces, vocabulary
+from .bpe import batch_ids, pieces, slices
 from .common import docs_of, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -116,12 +116,13 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        known, cut, end = pieces(path, "bytes"), vocabulary(path).pieces, end_id.to_bytes(4, "little")
+        known, end = pieces(path, "bytes"), end_id.to_bytes(4, "little")
 
         def documents():
-            for b in batches:
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    yield doc_id, b"".join([known[p] for p in cut(text or "")]) + end
+            for b in slices(batches):
+                offsets, ids = batch_ids(b.column("text"), known)
+                for doc_id, begin, stop in zip(b.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    yield doc_id, ids[begin:stop].tobytes() + end
 
         rows: list[tuple] = []
         for row in packed(documents(), capacity, piece, group, TaskContext.get().partitionId() << 40):
