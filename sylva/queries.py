@@ -53,7 +53,7 @@ of(R.orders, "axis_descendant", "/orders/descendant::lineitem[@rf='R'][@qty >= 4
 of(R.orders, "axis_descendant_or_self", "/orders/order[@status='P']/descendant-or-self::*", "SELECT 'order' AS what, CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'lineitem', '' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'", what="local-name()", key="@key")
 of(R.orders, "axis_parent", "//lineitem[@qty > 49]/..", f"{KEY_SQL} WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)", **OWN)
 of(R.orders, "axis_ancestor", "//lineitem[@qty > 49]/ancestor::order[@status='O']", f"{KEY_SQL} WHERE o_orderstatus = 'O' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)", **OWN)
-of(R.orders, "axis_ancestor_or_self", "//lineitem[@qty > 49]/ancestor-or-self::*", "SELECT 'orders' AS what, 1.0 AS n FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 49) UNION ALL SELECT 'order', 1.0 FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) UNION ALL SELECT 'lineitem', 1.0 FROM lineitem WHERE l_quantity > 49", what="local-name()", n="1")
+of(R.orders, "axis_ancestor_or_self", "//lineitem[@qty > 49]/ancestor-or-self::*", "SELECT 'orders' AS what, CAST(1 AS DOUBLE) AS n FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_quantity > 49) UNION ALL SELECT 'order', CAST(1 AS DOUBLE) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) UNION ALL SELECT 'lineitem', CAST(1 AS DOUBLE) FROM lineitem WHERE l_quantity > 49", what="local-name()", n="1")
 of(R.orders, "axis_following_sibling", "//lineitem[@n=1]/following-sibling::lineitem[@qty > 45]", f"WITH p AS {PLACED} SELECT {ITEM_SQL} FROM orders JOIN p ON l_orderkey = o_orderkey WHERE l_quantity > 45 AND place > (SELECT min(q.place) FROM p q WHERE q.l_orderkey = p.l_orderkey AND q.l_linenumber = 1)", **ITEM)
 of(R.orders, "axis_preceding_sibling", "//lineitem[@n=3]/preceding-sibling::lineitem[@qty > 45]", f"WITH p AS {PLACED} SELECT {ITEM_SQL} FROM orders JOIN p ON l_orderkey = o_orderkey WHERE l_quantity > 45 AND place < (SELECT max(q.place) FROM p q WHERE q.l_orderkey = p.l_orderkey AND q.l_linenumber = 3)", **ITEM)
 of(R.orders, "axis_preceding_nearest", "//lineitem[@n=3]/preceding-sibling::lineitem[1]", f"WITH p AS {PLACED}, x AS (SELECT DISTINCT a.* FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.place = b.place - 1 WHERE b.l_linenumber = 3) SELECT {ITEM_SQL} FROM orders JOIN x ON l_orderkey = o_orderkey", **ITEM)
