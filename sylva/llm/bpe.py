@@ -260,16 +260,16 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(4)
-def pieces(path: str, kind: str) -> Lately:
-    """What ``kind`` keeps of each piece's tokens."""
+@lru_cache(2)
+def pieces(path: str) -> Lately:
+    """Each piece's ids as text, their number, and their decoding."""
     v = vocabulary(path)
 
     def text(piece: str) -> tuple[str, int, str]:
         ids = v.encode(piece)
         return " ".join(map(str, ids)), len(ids), v.decode(ids)
 
-    return Lately({"text": text, "bytes": v.encoded}[kind], 400_000, twice=True)
+    return Lately(text, 400_000, twice=True)
 
 
 def slices(batches, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -299,10 +299,10 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets - offsets[0], found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
 
 
-def batch_ids(texts: pa.Array, known: Lately) -> tuple[np.ndarray, np.ndarray]:
-    """Where each text's ids begin (and the last one's end), and all ids. known: ``pieces`` of the kind "bytes"."""
+def batch_ids(texts: pa.Array, of: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's ids begin (and the last one's end), and all ids. of: the ids of each of many pieces."""
     offsets, codes, distinct = numbered(texts)
-    found = [known[p] for p in distinct]
+    found = of(distinct)
     sizes = np.array([len(x) // 4 for x in found], np.int64)
     flat = np.frombuffer(b"".join(found), "<u4")
     ends = np.append(0, np.cumsum(sizes[codes]))
@@ -332,7 +332,7 @@ def token_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        known = pieces(path, "text")
+        known = pieces(path)
         for b in slices(batches):
             offsets, codes, distinct = numbered(b.column("text"))
             found = [known[p] for p in distinct]

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import batch_ids, pieces, slices
+from .bpe import batch_ids, slices
 from .common import docs_of, small_batches
+from .library_ids import library_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -116,11 +117,11 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        known, end = pieces(path, "bytes"), end_id.to_bytes(4, "little")
+        ids_of, end = library_ids(path).of, end_id.to_bytes(4, "little")
 
         def documents():
             for b in slices(batches):
-                offsets, ids = batch_ids(b.column("text"), known)
+                offsets, ids = batch_ids(b.column("text"), ids_of)
                 for doc_id, begin, stop in zip(b.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     yield doc_id, ids[begin:stop].tobytes() + end
 

@@ -8,11 +8,13 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sylva.llm import bpe, exact_dedup, langid, lm, minhash, ogg, packing, quality, suffix, toxicity
+from sylva.llm.library_ids import LibraryIds
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORDS = "the of and tion ing er on an re he in ed nd ha at en es or nt ea ti to it st io le is ou ar as".split()
@@ -287,3 +289,15 @@ def test_empty_tables(nothing, spark):
 def test_empty_tables_of_stored_operators(nothing):
     for out in (suffix.remove_repeats(nothing), minhash.near_duplicates(nothing), lm.scores(nothing)):
         assert out.count() == 0
+
+
+def test_library_ids_of_pieces():
+    whole = Tokenizer.from_file(PATH)
+    whole.no_truncation()
+    whole.no_padding()
+    texts = ["", None, " ", "it's I'll we've", "a\x1cb\x85c\xa0d e", "<|endoftext|>x <|startoftext|>", "ΣΑΣ İstanbul ß é", "x\u0301 \u0301a", "1234 ２３ ½", "日本語テキスト", "\x00\x01 \u200b", "👍🏽", "</w> <w/>", "word " * 3000]
+    ids = LibraryIds(PATH, at_once=3, limit=4)  # small tables, many calls
+    for _ in range(4):
+        offsets, found = bpe.batch_ids(pa.array(texts, pa.string()), ids.of)
+        for i, t in enumerate(texts):
+            assert found[offsets[i] : offsets[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
