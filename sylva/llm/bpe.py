@@ -296,7 +296,7 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     lists = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     found = lists.flatten().dictionary_encode()
-    return offsets - offsets[0], found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+    return offsets - offsets[0], found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def batch_ids(texts: pa.Array, of: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
