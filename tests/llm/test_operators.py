@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -273,9 +274,7 @@ def test_lm(docs, rows):
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws) + math.log10((ends + 1) / (n + v + 1))
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws) + 1, sum(w in counts for w in ws) + 1, n)
         assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score < 0
-    model = lm.Model(5, 4, 2, __import__("numpy").full(5, 0.2))
-    import numpy as np
-
+    model = lm.Model(5, 4, 2, np.full(5, 0.2))
     logs = model.log_probabilities(np.zeros((2, 5), np.int64), np.arange(5))
     assert np.exp(logs).sum() == pytest.approx(1, rel=1e-5)
 
@@ -301,3 +300,17 @@ def test_library_ids_of_pieces():
         offsets, found = bpe.batch_ids(pa.array(texts, pa.string()), ids.of)
         for i, t in enumerate(texts):
             assert found[offsets[i] : offsets[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
+
+
+def test_scored_blanks_and_rare_words():
+    classes = lm.Classes([b"a", b"b"], 4)
+    totals = [5.0] * classes.size
+    model = lm.Model(classes.size, 4, 3, np.array(totals) / sum(totals))
+    scorer = lm.Scorer(classes, {b"a": 3, b"b": 2}, np.array(totals), np.array(totals), model).ready()
+    texts = ["", " ", None, "a", "  a b ", "x a X\ty", "\n", "zz zz a q", "ＡÉ é "]
+    n, known, _, score, rare, times = (c.to_pylist() if isinstance(c, pa.Array) else c.tolist() for c in scorer.batch(pa.array(texts)))
+    for i, t in enumerate(texts):
+        words = Counter(lm.words(t))
+        assert (n[i], known[i]) == (sum(words.values()) + 1, words[b"a"] + words[b"b"])
+        assert dict(zip(rare[i], times[i], strict=True)) == {w: c for w, c in words.items() if w not in (b"a", b"b")}
+        assert score[i] == pytest.approx(scorer.batch(pa.array([t], pa.string()))[3][0], abs=1e-4)
