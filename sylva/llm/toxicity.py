@@ -243,15 +243,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 5000, terms: int = 2000, train: Column | None = None, odds: float = 2.0, support: int = 4) -> Model:
-    """Fits on at most ``rows`` documents of each class. ``terms`` bounds the lexicon. Without labels of both kinds nothing is toxic."""
+    """Fits on at most ``rows`` documents of each class. ``terms`` bounds the words and, apart from them, the stems. Without labels of both kinds nothing is toxic."""
     sample = stored(sampled(docs, labels, label, rows, train), "toxicity-sample")
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (size.get(0) and size.get(1)):
         forget(sample)
         return Model({})
     lift = F.log((F.col("with") + 0.5) / (size[1] + 1)) - F.log((F.col("without") + 0.5) / (size[0] + 1))
-    found = term_counts(sample).where(F.col("with") >= support).withColumn("w", lift).where(F.col("w") >= odds).orderBy(F.desc(F.col("w") * F.log1p("with")), "term").limit(terms).collect()
-    model = Model(uncovered({r["term"]: r["w"] for r in found}))
+    counted = stored(term_counts(sample).where(F.col("with") >= support).withColumn("w", lift).where(F.col("w") >= odds), "toxicity-terms")
+    stem = F.col("term").endswith("*")
+    words, stems = ({r["term"]: r["w"] for r in counted.where(of).orderBy(F.desc(F.col("w") * F.log1p("with")), "term").limit(terms).collect()} for of in (~stem, stem))
+    forget(counted)
+    model = Model(words | uncovered(stems))
 
     def near_words(batches) -> Iterator[pa.RecordBatch]:
         finder, words = Finder(model), set()
@@ -275,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 
 def uncovered(weights: dict[str, float], enough: float = 0.6) -> dict[str, float]:
-    """The terms without those that a stem of theirs stands for: one with at least ``enough`` of their weight."""
+    """The stems without those that a shorter one stands for: one with at least ``enough`` of their weight. Words all stay: misspelled, they need not begin with a stem."""
     out: dict[str, float] = {}
     for term, weight in sorted(weights.items(), key=lambda x: len(x[0].rstrip("*"))):
         word = term.rstrip("*")

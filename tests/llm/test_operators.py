@@ -314,3 +314,25 @@ def test_scored_blanks_and_rare_words():
         assert (n[i], known[i]) == (sum(words.values()) + 1, words[b"a"] + words[b"b"])
         assert dict(zip(rare[i], times[i], strict=True)) == {w: c for w, c in words.items() if w not in (b"a", b"b")}
         assert score[i] == pytest.approx(scorer.batch(pa.array([t], pa.string()))[3][0], abs=1e-4)
+
+
+def test_toxicity_misspelled_beginnings(spark):
+    rng = random.Random(8)
+    terms = ["scoundrel", "blockhead", "nincompoop"]
+    rows, labels = [], []
+    for i in range(300):
+        words = prose(rng, 30).split()
+        if i % 3 == 0:
+            words[rng.randrange(len(words))] = rng.choice(terms)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    odd = ["skoundrel", "csoundrel", "bolckhead", "lockhead", "plokhead", "mincompoop", "nnicompoop", "ninkompop"]  # one or two edits, in the first five letters but for the last
+    rows += [(1000 + i, f"you are a {w} indeed") for i, w in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs, table)
+    assert set(terms) <= set(model.weights)
+    few = toxicity.learn(docs, table, terms=3)  # stems take no places from words
+    assert set(terms) <= set(few.weights) and any(t.endswith("*") for t in few.weights)
+    got = by_id(toxicity.score(docs, model))
+    assert [got[1000 + i].predicted for i in range(len(odd))] == [1] * len(odd)
