@@ -7,9 +7,9 @@ and a softmax over all classes makes them probabilities. Frequent words and a te
 any other word belongs to a class by its last letters, and has within it the share (c + 1) / (N + V + 1) of the
 class's counts, so that probabilities over all words, and one unknown word per class, sum to 1.
 
-Training is noise-contrastive estimation in numpy: every task trains on its share of the training documents, from
-the same start, and the parameters are averaged by numbers of tokens; ``rounds`` times. What is trained on grows
-with the corpus (``share`` of it, by hash of the id).
+Training is noise-contrastive estimation in numpy: every task trains on its part of the training documents, from
+the same start, and the parameters are averaged by numbers of tokens; ``rounds`` times. All training documents
+are trained on, in every round.
 
 Counts of the ``hot`` most frequent words (a fixed bound) go to every task; the counts of all others are joined
 to the words of documents in a shuffle, so no vocabulary ever has to fit in a task.
@@ -202,7 +202,7 @@ class Scorer:
 
 
 def log_bilinear_scores(
-    df: DataFrame, train: Column, hot: int = 100_000, own: int = 63, shared: int = 64, dim: int = 24, order: int = 3, share: float = 0.25, rounds: int = 2, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, train: Column, hot: int = 100_000, own: int = 63, shared: int = 64, dim: int = 24, order: int = 3, rounds: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, one row per row of ``df``.
 
@@ -234,9 +234,8 @@ def log_bilinear_scores(
         totals[r["k"]], kinds[r["k"]] = r["n"], r["v"]
     totals[END] = ends
     model = Model(classes.size, dim, order, (totals + 1) / (totals + 1).sum())
-    some = learned.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
     for turn in range(rounds):
-        model = averaged(some, classes, model, rate / (turn + 1), turn)
+        model = averaged(learned.select("text"), classes, model, rate / (turn + 1), turn)
     scorer = Scorer(classes, known, totals, kinds, model)
     del known
 
@@ -261,7 +260,7 @@ def log_bilinear_scores(
     )
 
 
-def averaged(some: DataFrame, classes: Classes, model: Model, rate: float, turn: int) -> Model:
+def averaged(learned: DataFrame, classes: Classes, model: Model, rate: float, turn: int) -> Model:
     """Every task trains on its documents from ``model``; the mean of the parameters, weighted by tokens.
 
     Tasks' parameters are added up by place before they reach the driver, so what it gets does not grow with their number.
@@ -291,7 +290,7 @@ def averaged(some: DataFrame, classes: Classes, model: Model, rate: float, turn:
             values = np.append(values, n)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values)], ["place", "value"])
 
-    rows = some.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    rows = learned.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
     if not rows:
         return model
     values = np.zeros(len(rows))

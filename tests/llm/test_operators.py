@@ -336,3 +336,10 @@ def test_toxicity_misspelled_beginnings(spark):
     assert set(terms) <= set(few.weights) and any(t.endswith("*") for t in few.weights)
     got = by_id(toxicity.score(docs, model))
     assert [got[1000 + i].predicted for i in range(len(odd))] == [1] * len(odd)
+
+
+def test_lm_trains_on_all_training_documents(docs, rows, monkeypatch):
+    given, averaged = [], lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda some, *how: given.append(Counter(r.text for r in some.collect())) or averaged(some, *how))
+    assert lm.scores(docs, hot=50).count() == len(rows)
+    assert given and all(g == Counter(t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2) for g in given)
