@@ -2,21 +2,25 @@
 
 Words are counted over all training documents. The model predicts the class of each token from the classes of the
 tokens before it: the predicted vector is the sum of one matrix per position times the vectors of those classes
-(kept multiplied out, as one table per position), its products with the class vectors, plus biases, are the scores,
-and a softmax over all classes makes them probabilities. Frequent words and a text's end are classes of their own;
-any other word belongs to a class by its last letters, and has within it the share (c + 1) / (N + V + 1) of the
+(kept multiplied out, as one table per position). Classes are dealt into about as many clusters as a cluster has
+classes, by frequency; products with the clusters' vectors, plus biases, give a softmax over clusters, and products with
+the vectors of one cluster's classes a softmax within it, so that a token costs two square roots of the number of classes.
+
+Frequent words and a text's end are classes of their own; their number grows with the cube root of the training tokens.
+Any other word belongs to a class by its last letters, and has within it the share (c + 1) / (N + V + 1) of the
 class's counts, so that probabilities over all words, and one unknown word per class, sum to 1.
 
-Training is noise-contrastive estimation in numpy: every task trains on its part of the training documents, from
-the same start, and the parameters are averaged by numbers of tokens; ``rounds`` times. All training documents
-are trained on, in every round.
+Training is noise-contrastive estimation in numpy at both levels, with noise from the counts: every task trains on its part of
+the training documents, from the same start, and each class's parameters are averaged by how often the tasks met the class;
+``rounds`` times. All training documents are trained on, in every round.
 
-Counts of the ``hot`` most frequent words (a fixed bound) go to every task; the counts of all others are joined
+Counts of at most ``hot`` frequent words go to every task; the counts of all others are joined
 to the words of documents in a shuffle, so no vocabulary ever has to fit in a task.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,36 +34,53 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import docs_of, fold, small_batches, stored
 
-END = 0  # the class of a text's end, and of what stands before its beginning
-
-
 def words(text: str | None) -> list[bytes]:
     """A-Z in lower case, cut at ASCII white space."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 class Classes:
-    """Classes of words: the end, one for each of the ``own`` words, ``shared`` ones by the last three bytes."""
+    """Classes of words: the end, one for each of the ``own`` words, ``shared`` ones by the last three bytes; numbered by ``ranked``."""
 
     def __init__(self, own: list[bytes], shared: int):
         self.own = {w: i + 1 for i, w in enumerate(own)}
         self.first, self.shared = len(own) + 1, shared
         self.size = self.first + shared
+        self.end, self.numbers = 0, list(range(self.first, self.size))
 
     def of(self, word: bytes) -> int:
         own = self.own.get(word)
-        return self.first + zlib.crc32(word[-3:]) % self.shared if own is None else own
+        return self.numbers[zlib.crc32(word[-3:]) % self.shared] if own is None else own
+
+    def ranked(self, totals: np.ndarray) -> np.ndarray:
+        """Numbers all classes anew, the most frequent first; gives the old number of each."""
+        old = np.argsort(-totals, kind="stable")
+        new = np.empty(self.size, np.int64)
+        new[old] = np.arange(self.size)
+        self.own = {w: int(new[i]) for w, i in self.own.items()}
+        self.numbers = [int(new[i]) for i in self.numbers]
+        self.end = int(new[self.end])
+        return old
 
 
 class Model:
-    """The log-bilinear model over classes: ``before[i]`` maps the class i + 1 places before to its part of the prediction."""
+    """The log-bilinear model over classes: ``before[i]`` maps the class i + 1 places before to its part of the prediction.
 
-    def __init__(self, size: int, dim: int, order: int, share: np.ndarray, seed: int = 1):
+    share: of each class, the most frequent first. Without training the model is that of the shares alone, or nearly so.
+    """
+
+    def __init__(self, share: np.ndarray, dim: int, order: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.before = (rng.standard_normal((order, size, dim)) * 0.1).astype(np.float32)
-        self.vectors = (rng.standard_normal((size, dim)) * 0.1).astype(np.float32)
-        self.bias = np.log(share).astype(np.float32)
-        self.noise = share
+        n = len(share)
+        self.width = math.isqrt(n - 1) + 1  # classes in a cluster
+        self.clusters = -(-n // self.width)
+        self.before = (rng.standard_normal((order, n, dim)) * 0.05).astype(np.float32)
+        self.vectors = (rng.standard_normal((n, dim)) * 0.05).astype(np.float32)
+        self.tops = (rng.standard_normal((self.clusters, dim)) * 0.05).astype(np.float32)
+        #: shares of clusters, and of classes within their clusters: the noise of both levels
+        self.top_share = np.add.reduceat(share, np.arange(0, n, self.width))
+        self.share = share / np.repeat(self.top_share, self.width)[:n]
+        self.bias, self.top_bias = np.log(self.share).astype(np.float32), np.log(self.top_share).astype(np.float32)
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         q = self.before[0].take(context[0], 0)
@@ -70,63 +91,120 @@ class Model:
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logs, normalised over all classes."""
         out = np.empty(len(target), np.float32)
-        matrix, one = np.ascontiguousarray(self.vectors.T), np.ones(len(self.vectors), np.float32)
-        steepest = float(np.sqrt((self.vectors**2).sum(1)).max())
-        highest = float(np.abs(self.bias).max())
-        for at in range(0, len(target), 2048):
-            part = slice(at, at + 2048)
-            q = self.predicted(context[:, part])
-            s = q @ matrix
-            s += self.bias
-            goal = s[np.arange(len(s)), target[part]]
-            if highest + steepest * float(np.sqrt(np.einsum("ij,ij->i", q, q).max())) > 60:  # scores might overflow
-                s -= (top := s.max(1, keepdims=True))
-                goal -= top[:, 0]
-            np.exp(s, out=s)
-            out[part] = goal - np.log(s @ one)
+        tops = np.ascontiguousarray(self.tops.T)
+        for at in range(0, len(target), 16384):
+            part = slice(at, at + 16384)
+            q, w = self.predicted(context[:, part]), target[part]
+            cluster = w // self.width
+            logs = log_softmax_at(q @ tops + self.top_bias, cluster)
+            order = np.argsort(cluster, kind="stable")
+            edges = np.flatnonzero(np.r_[True, cluster[order][1:] != cluster[order][:-1], True])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                rows = order[a:b]
+                low = int(cluster[rows[0]]) * self.width
+                own = slice(low, low + self.width)
+                logs[rows] += log_softmax_at(q[rows] @ self.vectors[own].T + self.bias[own], w[rows] - low)
+            out[part] = logs
         return out
 
-    def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator, rate: float, negatives: int = 16, batch: int = 512) -> None:
-        """One pass of noise-contrastive estimation; all tokens of a batch share their noise samples. Steps are scaled as in Adagrad."""
-        log_noise = (np.log(self.noise) + np.log(negatives)).astype(np.float32)
-        sums = [np.full(a.shape, 1e-2, np.float32) for a in (self.before, self.vectors, self.bias)]
-        cut = np.cumsum(self.noise)
+    def train(self, context: np.ndarray, target: np.ndarray, rng: np.random.Generator, rate: float, negatives: int = 16, inner: int = 1, batch: int = 8192) -> None:
+        """One pass of noise-contrastive estimation with steps as in Adagrad.
+
+        All tokens of a batch share ``negatives`` noise clusters; each token has ``inner`` noise classes of its own cluster.
+        """
+        if not hasattr(self, "sums"):
+            self.sums = {name: np.full(getattr(self, name).shape[: 2 if name == "before" else 1], 1e-2, np.float32) for name in ("before", "vectors", "tops", "bias", "top_bias")}
+        top_noise = (np.log(self.top_share) + np.log(negatives)).astype(np.float32)
+        noise = (np.log(self.share) + np.log(inner)).astype(np.float32)
+        top_cut, cut = np.cumsum(self.top_share), np.append(0.0, np.cumsum(self.share))
         for at in rng.permutation(np.arange(0, len(target), batch)):
             c, w = context[:, at : at + batch], target[at : at + batch]
-            noise = np.minimum(np.searchsorted(cut, rng.random(negatives)), len(cut) - 1)
-            q = self.predicted(c)
-            own, other = self.vectors[w], self.vectors[noise]
-            true = 1 / (1 + np.exp(-((q * own).sum(1) + self.bias[w] - log_noise[w]))) - 1
-            false = 1 / (1 + np.exp(-(q @ other.T + self.bias[noise] - log_noise[noise])))
+            n, q, cluster = len(w), self.predicted(c), w // self.width
+            # clusters
+            some = np.minimum(np.searchsorted(top_cut, rng.random(negatives) * top_cut[-1]), self.clusters - 1)
+            own, other = self.tops[cluster], self.tops[some]
+            true = sigmoid((q * own).sum(1) + self.top_bias[cluster] - top_noise[cluster]) - 1
+            false = sigmoid(q @ other.T + self.top_bias[some] - top_noise[some])
             dq = true[:, None] * own + false @ other
-            grads = [np.zeros_like(a) for a in (self.before, self.vectors, self.bias)]
+            rows = np.concatenate([cluster, some])
+            top_grads = np.concatenate([true[:, None] * q, false.T @ q]), np.concatenate([true, false.sum(0)])
+            # classes within clusters
+            low = cluster * self.width
+            high = np.minimum(low + self.width, len(self.bias))
+            draws = cut[low][:, None] + rng.random((n, inner)) * (cut[high] - cut[low])[:, None]
+            drawn = np.clip(np.searchsorted(cut, draws.ravel(), "right") - 1, np.repeat(low, inner), np.repeat(high - 1, inner))
+            both = np.concatenate([w[:, None], drawn.reshape(n, inner)], 1)
+            vectors = self.vectors[both]
+            slope = sigmoid(np.einsum("nkd,nd->nk", vectors, q) + self.bias[both] - noise[both])
+            slope[:, 0] -= 1
+            dq += np.einsum("nk,nkd->nd", slope, vectors)
+            self.descend("tops", rows, top_grads[0], rate)
+            self.descend("top_bias", rows, top_grads[1], rate)
+            flat = both.ravel()
+            self.descend("vectors", flat, (slope[:, :, None] * q[:, None, :]).reshape(len(flat), -1), rate)
+            self.descend("bias", flat, slope.ravel(), rate)
             for i in range(len(c)):
-                scatter(grads[0][i], c[i], dq)
-            scatter(grads[1], w, true[:, None] * q)
-            np.add.at(grads[1], noise, false.T @ q)
-            np.add.at(grads[2], w, true)
-            np.add.at(grads[2], noise, false.sum(0))
-            for a, g, s in zip((self.before, self.vectors, self.bias), grads, sums, strict=True):
-                g /= len(w) ** 0.5
-                s += g * g
-                a -= rate * g / np.sqrt(s)
-
-
-def scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """into[rows] += values, by sorting: rows repeat."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    into[ordered[starts]] += np.add.reduceat(values[order], starts, 0)
-
-
-def contexts(classes: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
-    """Row i: the classes i + 1 places before each token; END before a text's beginning. starts: each token's text's first token."""
+                self.descend("before", c[i], dq, rate, i)
+
+    def descend(self, name: str, rows: np.ndarray, grads: np.ndarray, rate: float, at: int | None = None) -> None:
+        """A step for some rows of a table, each with a rate of its own; rows that repeat are added up first."""
+        table, sums = getattr(self, name), self.sums[name]
+        if at is not None:
+            table, sums = table[at], sums[at]
+        order = np.argsort(rows.astype(np.uint16) if len(table) <= 65536 else rows, kind="stable")  # short numbers sort much faster
+        ordered = rows[order]
+        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        g, some = np.add.reduceat(grads.take(order, 0), starts, 0), ordered[starts]
+        now = sums[some] + (np.einsum("rd,rd->r", g, g) / g.shape[1] if g.ndim > 1 else g * g)
+        sums[some] = now
+        steps = (rate / np.sqrt(now)).astype(np.float32)
+        g *= steps[:, None] if g.ndim > 1 else steps
+        table[some] -= g
+
+    # --- parameters as rows: those of classes, then those of clusters
+
+    def rows(self, of: np.ndarray) -> np.ndarray:
+        n, dim = self.vectors.shape
+        k = of[of < n]
+        classes = np.concatenate([self.before[:, k].transpose(1, 0, 2).reshape(len(k), len(self.before) * dim), self.vectors[k], self.bias[k, None]], 1)
+        t = of[of >= n] - n
+        clusters = np.zeros((len(t), classes.shape[1]), np.float32)
+        clusters[:, :dim], clusters[:, dim] = self.tops[t], self.top_bias[t]
+        return np.concatenate([classes, clusters])
+
+    def put(self, of: np.ndarray, rows: np.ndarray) -> None:
+        n, dim = self.vectors.shape
+        order = len(self.before)
+        k, got = of[of < n], rows[of < n]
+        self.before[:, k] = got[:, : order * dim].reshape(len(k), order, dim).transpose(1, 0, 2)
+        self.vectors[k], self.bias[k] = got[:, order * dim : -1], got[:, -1]
+        t, got = of[of >= n] - n, rows[of >= n]
+        self.tops[t], self.top_bias[t] = got[:, :dim], got[:, dim]
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -40, 40, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at one place."""
+    scores -= scores.max(1, keepdims=True)
+    goal = scores[np.arange(len(scores)), at]
+    np.exp(scores, out=scores)
+    return goal - np.log(scores.sum(1))
+
+
+def contexts(classes: np.ndarray, starts: np.ndarray, order: int, end: int) -> np.ndarray:
+    """Row i: the classes i + 1 places before each token; ``end`` before a text's beginning. starts: each token's text's first token."""
     place = np.arange(len(classes)) - starts
     out = np.zeros((order, len(classes)), classes.dtype)
     for i in range(order):
         out[i, i + 1 :] = classes[: max(0, len(classes) - i - 1)]
-        out[i, place <= i] = END
+        out[i, place <= i] = end
     return out
 
 
@@ -158,20 +236,13 @@ class Scorer:
         self.classes, self.model = classes, model
         self.known = {w: (classes.of(w), c) for w, c in hot.items()}
         #: log10 of what shares within a class are divided by; a word that is a class has the share 1
-        self.within = np.where(np.arange(classes.size) < classes.first, np.nan, np.log10(totals + kinds + 1))
+        self.within = np.full(classes.size, np.nan)
+        self.within[classes.numbers] = np.log10(totals + kinds + 1)[classes.numbers]
 
     def batch(self, texts: pa.Array) -> list[np.ndarray | pa.Array]:
         """Columns: n_tokens, hot n, hot sum of log10(c + 1), score without rare words' counts, rare words, their numbers in the text."""
         classes, n = self.classes, len(texts)
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        found = lists.flatten().dictionary_encode()
-        codes, distinct = found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.large_binary())
-        names = distinct.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
-        if b"" in names:  # before, after or instead of white space
-            some = codes != names.index(b"")
-            offsets, codes = np.append(0, np.cumsum(some))[offsets], codes[some]
+        codes, names, offsets = split(texts)
         hits = [self.known.get(w) for w in names]
         rare = np.array([h is None for h in hits], bool)
         kinds = np.array([classes.of(w) if h is None else h[0] for w, h in zip(names, hits, strict=True)], np.int64)
@@ -181,33 +252,49 @@ class Scorer:
         sizes = np.diff(offsets) + 1
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(n), sizes - 1)
-        target = np.full(int(ends[-1]), END, np.int64)
+        target = np.full(int(ends[-1]), classes.end, np.int64)
         target[np.arange(len(codes)) + owner] = kinds[codes]
-        logs = self.model.log_probabilities(contexts(target, np.repeat(ends - sizes, sizes), len(self.model.before)), target).astype(np.float64)
+        logs = self.model.log_probabilities(contexts(target, np.repeat(ends - sizes, sizes), len(self.model.before), classes.end), target).astype(np.float64)
         score = np.add.reduceat(logs, ends - sizes) / np.log(10) + np.bincount(owner, add[codes], n)
         # each text's distinct rare words
         is_rare = rare[codes]
         pairs, times = np.unique(owner[is_rare] * max(1, len(names)) + codes[is_rare], return_counts=True)
         of, word = np.divmod(pairs, max(1, len(names)))
         at = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
-        rare_words = pa.ListArray.from_arrays(at, distinct.take(pa.array(word)).cast(pa.binary()))
+        rare_words = pa.ListArray.from_arrays(at, pa.array(names, pa.binary()).take(pa.array(word)))
         known = sizes - 1 - np.bincount(owner[is_rare], minlength=n)
         return [sizes, known, np.bincount(owner, log_c[codes], n), score, rare_words, pa.ListArray.from_arrays(at, pa.array(times.astype(np.int64)))]
 
     def ready(self) -> Scorer:
         """With each hot word's logs, once per task."""
-        first = self.classes.first
-        self.known = {w: (k, c, l := float(np.log10(c + 1)), 0.0 if k < first else l - float(self.within[k])) for w, (k, c) in self.known.items()}
+        own = self.classes.own
+        self.known = {w: (k, c, l := float(np.log10(c + 1)), 0.0 if w in own else l - float(self.within[k])) for w, (k, c) in self.known.items()}
         return self
 
 
+def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """At most ``most`` of the most frequent words with their counts, the most frequent first: a histogram of counts tells
+    from which count on words are few enough, and only those leave the cluster."""
+    place = F.floor(F.log2("c") * 32)
+    above, low = 0, -1
+    for r in sorted(counts.groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        above += r["n"]
+        if above > most:
+            low = r["p"]
+            break
+    found = counts.where(place > low).collect()
+    return {bytes(r["word"]): r["c"] for r in sorted(found, key=lambda r: (-r["c"], bytes(r["word"])))}
+
+
 def log_bilinear_scores(
-    df: DataFrame, train: Column, hot: int = 100_000, own: int = 63, shared: int = 64, dim: int = 24, order: int = 3, rounds: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, train: Column, hot: int = 100_000, own: int | None = None, shared: int = 512, dim: int = 24, order: int = 3, rounds: int = 1, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, one row per row of ``df``.
 
     ``train`` (of doc_id) says which documents are learned from. Null and empty texts are one token, the end. Repeated rows
-    are scored each, and counted each. Without training documents all words are unknown and classes alike likely.
+    are scored each, and counted each, as are rows without an id (their fold is that of the empty text). Without training
+    documents all words are unknown and classes alike likely. ``own``: how many words are classes of their own, at most
+    ``hot``; by default 24 times the cube root of the number of training tokens. ``shared``: classes of all other words.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -217,9 +304,8 @@ def log_bilinear_scores(
     ends = learned.count()
     seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, types = seen[0] + ends, seen[1] + (1 if ends else 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(hot)
-    known = {bytes(r["word"]): r["c"] for r in top.collect()}
-    classes = Classes(list(known)[:own], shared)
+    known = frequent(counts, hot)
+    classes = Classes(list(known)[: int(24 * tokens ** (1 / 3)) if own is None else own], shared)
 
     def totals_of(batches) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(classes.size, np.int64), np.zeros(classes.size, np.int64)
@@ -232,8 +318,10 @@ def log_bilinear_scores(
     totals, kinds = np.zeros(classes.size), np.zeros(classes.size)
     for r in counts.mapInArrow(totals_of, "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         totals[r["k"]], kinds[r["k"]] = r["n"], r["v"]
-    totals[END] = ends
-    model = Model(classes.size, dim, order, (totals + 1) / (totals + 1).sum())
+    totals[classes.end] = ends
+    old = classes.ranked(totals)
+    totals, kinds = totals[old], kinds[old]
+    model = Model((totals + 1) / (totals + 1).sum(), dim, order)
     for turn in range(rounds):
         model = averaged(learned.select("text"), classes, model, rate / (turn + 1), turn)
     scorer = Scorer(classes, known, totals, kinds, model)
@@ -260,48 +348,80 @@ def log_bilinear_scores(
     )
 
 
-def averaged(learned: DataFrame, classes: Classes, model: Model, rate: float, turn: int) -> Model:
-    """Every task trains on its documents from ``model``; the mean of the parameters, weighted by tokens.
+def averaged(learned: DataFrame, classes: Classes, model: Model, rate: float, turn: int, at_once: int = 1 << 20) -> Model:
+    """Every task trains on its documents from ``model``; each class's mean parameters over tasks, weighted by its tokens there.
 
-    Tasks' parameters are added up by place before they reach the driver, so what it gets does not grow with their number.
+    A task gives only the rows of classes that it met. Rows of one class are added up in tasks, so the driver gets each class once.
+    ``at_once``: tokens that are trained on together.
     """
-    order, at_once = len(model.before), 1 << 18
+    order, n_classes = len(model.before), classes.size
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        own, held, n, rng = model, [], 0, np.random.default_rng(turn)
+        own, held, size, rng = model, [], 0, np.random.default_rng(turn)
+        seen = np.zeros(n_classes, np.int64)
 
         def learn():
             sizes = np.array([len(h) for h in held])
             target = np.concatenate(held)
-            own.train(contexts(target, np.repeat(np.cumsum(sizes) - sizes, sizes), order), target, rng, rate)
+            own.train(contexts(target, np.repeat(np.cumsum(sizes) - sizes, sizes), order, classes.end), target, rng, rate)
             held.clear()
-            return len(target)
+            np.add(seen, np.bincount(target, minlength=n_classes), out=seen)
 
+        for b in slices(batches, 4 << 20):
+            flat, sizes = class_ids(b.column("text"), classes)
+            held += np.split(flat, np.cumsum(sizes)[:-1])
+            size += len(flat)
+            if size >= at_once:
+                learn()
+                size = 0
+        if held:
+            learn()
+        weight = np.concatenate([seen, np.add.reduceat(seen, np.arange(0, n_classes, own.width))])
+        k = np.flatnonzero(weight)
+        values = own.rows(k) * weight[k, None].astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(weight[k].astype(np.float64)), pa.array([v.tobytes() for v in values], pa.binary())], ["k", "weight", "row"])
+
+    def added(batches) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        weights: dict[int, float] = {}
         for b in batches:
-            for text in b.column("text").to_pylist():
-                held.append(np.array([*map(classes.of, words(text)), END], np.int64))
-                if sum(map(len, held[-1:])) + len(held) * 64 >= at_once:
-                    n += learn()
-            if sum(map(len, held)) >= at_once:
-                n += learn()
-        n += learn() if held else 0
-        if n:
-            values = np.concatenate([own.before.ravel(), own.vectors.ravel(), own.bias]).astype(np.float64) * n
-            values = np.append(values, n)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values)], ["place", "value"])
-
-    rows = learned.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-    if not rows:
-        return model
-    values = np.zeros(len(rows))
-    for r in rows:
-        values[r["place"]] = r["value"]
-    values = (values[:-1] / values[-1]).astype(np.float32)
-    a, b = model.before.size, model.before.size + model.vectors.size
-    model.before, model.vectors, model.bias = values[:a].reshape(model.before.shape), values[a:b].reshape(model.vectors.shape), values[b:]
+            for k, weight, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                values = np.frombuffer(row, np.float32).astype(np.float64)
+                weights[k] = weights.get(k, 0.0) + weight
+                sums[k] = sums[k] + values if k in sums else values
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([(sums[k] / weights[k]).astype(np.float32).tobytes() for k in keys], pa.binary())], ["k", "row"])
+
+    rows = learned.select("text").mapInArrow(run, "k int, weight double, row binary").repartition("k").mapInArrow(added, "k int, row binary").collect()
+    if rows:
+        model.put(np.array([r["k"] for r in rows]), np.frombuffer(b"".join(bytes(r["row"]) for r in rows), np.float32).reshape(len(rows), -1))
     return model
 
 
+def class_ids(texts: pa.Array, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all texts' words, with an end after each text, and the number of tokens of each text."""
+    codes, names, offsets = split(texts)
+    kinds = np.array([classes.of(w) for w in names], np.int64)
+    sizes = np.diff(offsets) + 1
+    out = np.full(int(sizes.sum()), classes.end, np.int64)
+    out[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = kinds[codes] if len(codes) else 0
+    return out, sizes
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Words of a batch: their numbers among the distinct ones, the distinct ones, and where each text's words begin and end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    found = lists.flatten().dictionary_encode()
+    codes = found.indices.to_numpy().astype(np.int64)
+    names = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+    if b"" in names:  # before, after or instead of white space
+        some = codes != names.index(b"")
+        offsets, codes = np.append(0, np.cumsum(some))[offsets], codes[some]
+    return codes, names, offsets
+
+
 def scores(df: DataFrame, folds: int = 7, held: int = 2, **how) -> DataFrame:
     """``log_bilinear_scores`` learned from all folds but ``held``, with ``held_out``."""
     out = log_bilinear_scores(df, fold(F.col("doc_id"), folds) != held, **how)

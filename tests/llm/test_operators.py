@@ -184,10 +184,33 @@ def test_minhash(docs, rows):
                 both = len(sets[i] & sets[j])
                 if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and least[j] < least[i]:
                     least[i], changed = least[j], True
-    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), least[i], least[i] == i) for i in sets}
+    expected = {i: (len(sets[i]), least[i], least[i] == i) for i in sets}
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == expected
+    parts = by_id(minhash.near_duplicates(docs, members=2, at_once=60))  # every group in many parts
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in parts.items()} == expected
     assert sorted(r.doc_id for r in minhash.one_of_each(docs).collect()) == sorted(i for i in least if least[i] == i)
 
 
+def test_minhash_finds_pairs_at_the_threshold(spark):
+    rng, rows, linked = random.Random(11), [], []
+    for k in range(150):  # of n words the last d differ: n - d - 4 shingles in common, d in each alone
+        n = rng.randint(30, 200)
+        d = min(d for d in range(n) if 100 * (n - 4 - d - 1) < 75 * (n - 4 + d + 1)) + k % 2  # just enough in common, or not quite
+        words = [f"w{k}x{i}" for i in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n - d] + [f"{w}y" for w in words[n - d :]]))]
+        linked.append(100 * (n - 4 - d) >= 75 * (n - 4 + d))
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[2 * k + 1].component_id == 2 * k for k in range(150)] == linked and 50 < sum(linked) < 100
+
+
+def test_minhash_odd_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (None, text), (4, text), (4, text), (9, text.upper()), (2, "x"), (3, "X"), (5, None)]
+    got = sorted(map(str, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()))
+    expected = [(None, None, True), (None, None, True), (4, 4, True), (4, 4, True), (9, 4, False), (2, 2, True), (3, 2, False), (5, 5, True)]
+    assert got == sorted(f"Row(doc_id={a}, component_id={b}, kept={c})" for a, b, c in expected)
+
+
 def test_language(spark):
     rng = random.Random(4)
     words = {"aa": ["kala", "mina", "tuo", "on", "ja"], "bb": ["wer", "sch", "und", "zeit", "pf"]}
@@ -210,6 +233,33 @@ def test_language(spark):
     p = langid.Parser(("aa", "bb"), ("kala mina tuo", "wer sch und"))
     text = "kalamin und tuosch"
     assert p.phrases([p.symbols(text)]).tolist() == [[phrases(text, "kala mina tuo"), phrases(text, "wer sch und")]]
+    # whatever the blocks, counts are those of one parse of the whole text; letters outside the alphabet are spelled
+    known = ("".join(rng.choice("abcde 日本語中文字") for _ in range(300)), "".join(rng.choice("abéèæ 国語") for _ in range(300)))
+    squeezed = [re.sub(r"[^\w]+", " ", k) for k in known]
+    some = ["".join(rng.choice("abcde 日本国語中é") for _ in range(rng.choice([0, 1, 30, 400]))) for _ in range(20)] + [known[0][20:280], "zz" + known[1][:100]]
+    for letters, block in ((200, 2048), (200, 7), (200, 1), (3, 2048), (3, 5)):
+        p = langid.Parser(("aa", "bb"), known, letters, block)
+        got = p.phrases([p.symbols(t) for t in some]).tolist()
+        if letters == 200:
+            assert got == [[phrases(re.sub(r"[^\w]+", " ", t), k) for k in squeezed] for t in some]
+        else:
+            names = [c for c in "".join(sorted(set("".join(known)))) if c.isalpha()]
+            count = Counter(c for k in known for c in k if c.isalpha())
+            own = set(sorted(names, key=lambda c: (-count[c], c))[:3])
+            spell = lambda t: "".join(c if c in own or not c.isalpha() else c.encode().decode("latin-1") for c in re.sub(r"[^\w]+", " ", t))
+            assert got == [[phrases(spell(t), spell(k)) for k in squeezed] for t in some]
+    whole = langid.Parser(("aa",), ("".join(rng.choice("abcdefgh") for _ in range(9000)),))
+    assert whole.phrases([whole.symbols("")]).tolist() == [[0]]
+
+
+def test_language_learned_from_long_texts_only(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 20_000 if i % 2 else 30), "long" if i % 2 else "brief") for i in range(12)]
+    rows = [(i, t if i % 2 else t.replace("e", "ö"), lang) for i, t, lang in rows]
+    languages, texts = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=5000)
+    assert languages == ("brief", "long") and all(0 < len(t) <= 5000 for t in texts)
+    tie = langid.Parser(("aa", "bb"), ("same text", "same text"))
+    assert tie.predict(["same"])[0][0] == "aa"
 
 
 def test_toxicity(spark):
@@ -274,9 +324,30 @@ def test_lm(docs, rows):
         base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws) + math.log10((ends + 1) / (n + v + 1))
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws) + 1, sum(w in counts for w in ws) + 1, n)
         assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score < 0
-    model = lm.Model(5, 4, 2, np.full(5, 0.2))
-    logs = model.log_probabilities(np.zeros((2, 5), np.int64), np.arange(5))
-    assert np.exp(logs).sum() == pytest.approx(1, rel=1e-5)
+    for n in (1, 5, 50):
+        model = lm.Model(np.full(n, 1 / n), 4, 2)
+        context, target = np.array([[0] * 400, [n - 1] * 400]), np.arange(400) % n
+        model.train(context, target, np.random.default_rng(1), 0.1, batch=64)
+        logs = model.log_probabilities(context[:, :n], np.arange(n))
+        assert np.exp(logs).sum() == pytest.approx(1, rel=1e-5)
+        before = model.rows(np.arange(n + model.clusters))
+        model.put(np.arange(len(before)), before)
+        assert (model.rows(np.arange(len(before))) == before).all()
+
+
+def test_lm_beats_counts_on_held_out_texts(spark):
+    got = [r for r in lm.scores(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect() if r.held_out]
+    assert len(got) > 20 and sum(r.score > r.base_score for r in got) >= 0.9 * len(got)
+
+
+def test_frequent_words(spark):
+    counts = Counter({f"w{i}".encode(): 1 + 1000 // (i + 1) for i in range(500)})
+    df = spark.createDataFrame(list(counts.items()), "word binary, c long")
+    for most in (0, 3, 50, 500):
+        found = lm.frequent(df, most)
+        assert len(found) <= most and found.items() <= counts.items()
+        assert not found or min(found.values()) >= max((c for w, c in counts.items() if w not in found), default=0)
+    assert lm.frequent(df, 500) == counts and len(lm.frequent(df, 50)) > 40
 
 
 def test_empty_tables(nothing, spark):
@@ -304,8 +375,9 @@ def test_library_ids_of_pieces():
 
 def test_scored_blanks_and_rare_words():
     classes = lm.Classes([b"a", b"b"], 4)
-    totals = [5.0] * classes.size
-    model = lm.Model(classes.size, 4, 3, np.array(totals) / sum(totals))
+    totals = [5.0 - i / 10 for i in range(classes.size)][::-1]
+    totals = np.array(totals)[classes.ranked(np.array(totals))].tolist()
+    model = lm.Model(np.array(totals) / sum(totals), 4, 3)
     scorer = lm.Scorer(classes, {b"a": 3, b"b": 2}, np.array(totals), np.array(totals), model).ready()
     texts = ["", " ", None, "a", "  a b ", "x a X\ty", "\n", "zz zz a q", "ＡÉ é "]
     n, known, _, score, rare, times = (c.to_pylist() if isinstance(c, pa.Array) else c.tolist() for c in scorer.batch(pa.array(texts)))
