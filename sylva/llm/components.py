@@ -33,4 +33,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == last:
             break
         last = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._sylva_path = edges._sylva_path
+    return out

@@ -1,14 +1,18 @@
 """Near duplicates: MinHash signatures, a multi-index Hamming join, and confirmation on whole sets.
 
-A signature holds ``CHUNKS * LENGTH`` symbols of 16 bits, the low bits of as many minima of hashes of a document's shingles. Two
+A signature holds ``CHUNKS * LENGTH`` symbols of 16 bits, from as many minima of hashes of a document's shingles. Two
 signatures that differ in at most CHUNKS * 2 - 1 symbols agree, by the pigeonhole principle, in some chunk up to one
 symbol. So the index has one key for each chunk and each symbol left out of it, and all pairs within that distance
-meet. (Sets with a Jaccard similarity of 0.75 also meet beyond it, but for about 4 pairs in 100,000.)
+meet. Of pairs beyond it most meet too: two sets with a Jaccard similarity of 0.75 agree in a chunk up to one symbol with a
+probability of 0.75^5 + 5 * 0.75^4 * 0.25 = 0.633, and so in none of 20 with one of 0.367^20 = 2 in 10^9; more alike, less.
 
 Documents with equal sets are one node from the start. Where keys bring nodes together, signatures with at most
-``FAR`` differing symbols are joined into loose groups; a true link has more only once in a million. Then each loose group's
-texts meet, and whole sets of shingles decide which links are real. Nowhere are all pairs of a group written:
-within a key and within a group, a search from node to node leaves a tree.
+``FAR`` differing symbols are joined into loose groups (two such sets differ in more of 100 symbols with a probability of 4 in
+10^11). Then each loose group's texts meet, and whole sets of shingles decide which links are real. Nowhere are all
+pairs of a group written: within a key and within a group, a search from node to node leaves a tree.
+
+A key or a loose group of any size is dealt into parts of bounded size, and every two parts meet in a task of their own. So
+tasks stay small, but a group's rows are read once for each of its parts.
 """
 
 from __future__ import annotations
@@ -23,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Lately
-from .common import docs_of, small_batches, stored
+from .common import docs_of, forget, small_batches, stored
 from .components import components
 
-WORDS, CHUNKS, LENGTH, FAR = 5, 10, 5, 28
-CROWD = 20_000  # members of a key beyond which they are joined without a look at their signatures
+WORDS, CHUNKS, LENGTH, FAR = 5, 20, 5, 55
+MEMBERS = 500  # of a key, searched together
 AT_ONCE = 1_000_000  # shingles that a task confirms together
 
 
@@ -53,17 +57,24 @@ class Shingles:
 
 
 class Signer:
+    """Minima under CHUNKS * LENGTH hash functions: multiplications modulo 2^32, each of one of two 32-bit halves of a mixed shingle."""
+
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.factors = rng.integers(0, 1 << 63, CHUNKS * LENGTH, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.offsets = rng.integers(0, 1 << 63, CHUNKS * LENGTH, np.uint64)
+        self.factors = rng.integers(0, 1 << 31, (CHUNKS * LENGTH, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+        self.offsets = rng.integers(0, 1 << 32, (CHUNKS * LENGTH, 1), np.uint32)
 
     def sign(self, shingles: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.factors), (1 << 64) - 1, np.uint64)
-        for at in range(0, len(shingles), 4096):
-            part = shingles[None, at : at + 4096] * self.factors[:, None] + self.offsets[:, None]
-            least = np.minimum(least, part.min(1))
-        return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int32)
+        least = np.full(len(self.factors), (1 << 32) - 1, np.uint32)
+        half = len(least) // 2
+        for at in range(0, len(shingles), 2048):
+            part = shingles[at : at + 2048]
+            for own, x in ((slice(0, half), part.astype(np.uint32)), (slice(half, None), (part >> np.uint64(32)).astype(np.uint32))):
+                h = x[None, :] * self.factors[own]
+                h ^= self.offsets[own]
+                np.minimum(least[own], h.min(1), out=least[own])
+        mixed = least.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return (mixed >> np.uint64(48)).astype(np.int32)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -138,25 +149,37 @@ def by_signature(rows: pa.Table) -> list[tuple[int, int]]:
     sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
     if len(nodes) == 2:
         return [(nodes[0], nodes[1])] if (sig[0] != sig[1]).sum() <= FAR else []
+    sig = np.ascontiguousarray(sig.astype(np.uint16))
     return [(nodes[i], nodes[j]) for i, j in tree(len(nodes), lambda i, rest: (sig[rest] != sig[i]).sum(1) <= FAR)]
 
 
-def loose_links(nodes: DataFrame) -> DataFrame:
+def cells(rows: DataFrame, name: str, parts) -> DataFrame:
+    """``rows`` (node, name and ``parts`` parts a group) with the cells that each is in: pairs (p, q) of its group's parts, p its own or q."""
+    part = F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    dealt = rows.withColumn("part", part)
+    alone = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
+    others = F.filter(F.sequence(F.lit(0), F.col(parts) - 1), lambda q: q != F.col("part"))
+    pairs = F.transform(others, lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
+    return dealt.select("node", F.explode(F.when(F.col(parts) <= 1, alone).otherwise(pairs)).alias("c"), name).select("node", F.xxhash64(name, "c.p", "c.q").alias("cell"))
+
+
+def loose_links(nodes: DataFrame, members: int = MEMBERS) -> DataFrame:
     """a, b: trees of nodes that share a key and have near signatures."""
     keyed = keys(nodes)
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).cast("string").alias("who")).where("n > 1")
     # the same members under many keys are looked at once
     met = stored(met.groupBy("n", "low", "high", "who").agg(F.min("key").alias("key")).select("key", "n", "low", "high"), "met")
-    pairs = met.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("node"))
-    crowds = met.where("n > 2").select("key", "n", "low")
-    many = keyed.join(crowds, "key").select("key", "node", "n", "low")
-    members = pairs.unionByName(many.where(F.col("n") <= CROWD).select("key", "node")).join(nodes.select("node", "sig"), "node")
+    pairs = met.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("node"), F.lit(1).alias("parts"))
+    many = keyed.join(met.where("n > 2").select("key", F.ceil(F.col("n") / members).cast("int").alias("parts")), "key").select("key", "node", "parts")
+    together = cells(pairs.unionByName(many), "key", "parts").join(nodes.select("node", "sig"), "node")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        return runs_of(batches, "key", by_signature)
+        return runs_of(batches, "cell", by_signature)
 
-    searched = members.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sig").mapInArrow(run, "a long, b long")
-    return searched.unionByName(many.where(F.col("n") > CROWD).select(F.col("low").alias("a"), F.col("node").alias("b")))
+    found = together.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "sig").mapInArrow(run, "a long, b long")
+    found = stored(found, "loose")
+    forget(met)
+    return found
 
 
 class Confirm:
@@ -191,19 +214,13 @@ class Confirm:
         return [(nodes[i], nodes[j]) for i, j in tree(len(nodes), near)]
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int, at_once: int = AT_ONCE) -> DataFrame:
     """a, b: trees of the real links. groups: node, group, n_shingles of every node in a loose group.
 
-    A group of more than AT_ONCE shingles is dealt into parts by node; each pair of parts is confirmed in a task of its own.
+    A group of more than ``at_once`` shingles is dealt into parts by node; each pair of parts is confirmed in a task of its own.
     """
-    parts = groups.groupBy("group").agg(F.ceil(F.sum("n_shingles") / AT_ONCE).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = groups.join(parts, "group").withColumn("part", part)
-    # part p meets part q in the cell (min, max); a part alone is in the cells of its pairs, or in (0, 0)
-    cells = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(
-        F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("part")), lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
-    )
-    cell = dealt.select("node", F.explode(cells).alias("c"), "group").select("node", F.xxhash64("group", "c.p", "c.q").alias("cell"))
+    parts = groups.groupBy("group").agg(F.ceil(F.sum("n_shingles") / at_once).cast("int").alias("parts"))
+    cell = cells(groups.join(parts, "group"), "group", "parts")
     rows = docs.join(cell.hint("shuffle_hash"), docs["doc_id"] == cell["node"]).select("cell", "node", "text")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -212,21 +229,25 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int) -> DataFra
     return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS, at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row per row of ``df``.
 
     Documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of 5-word shingles (fewer words: all of them as one;
     none: an empty set, linked with nothing). A component's id is its smallest doc_id. A row without an id is in no
-    component (null) and kept. Rows that repeat an id are taken as one document, whatever their texts.
+    component (null) and kept. Rows that repeat an id are taken as one document, whatever their texts. ``members`` of a key
+    and ``at_once`` shingles of a loose group are worked on together; they change no result. A link is missed with the
+    probabilities above, which hold for ``percent`` of 75 and more; below 60 raise CHUNKS and FAR.
     """
     small_batches(df.sparkSession)
     docs = docs_of(df, id_col, text_col)
     signed = stored(signatures(docs), "signatures")
     best = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
     nodes = stored(best.select("digest", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sig").alias("sig")), "nodes")
-    loose = components(loose_links(nodes))
+    found = loose_links(nodes, members)
+    loose = components(found)
     groups = stored(loose.join(nodes.select("node", "n_shingles"), "node").select("node", F.col("component").alias("group"), "n_shingles"), "groups")
-    real = components(confirmed_links(docs, groups, percent))
+    real = components(confirmed_links(docs, groups, percent, at_once))
+    forget(found, loose, groups)
     named = nodes.select("digest", "node").join(real, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept")
