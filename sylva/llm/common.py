@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -29,14 +31,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is named."""
+    """The folder all executors share (``spark.checkpoint.dir``); where none is named, a local one, if Spark itself is local."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sylva-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+#: Folders of stored tables and how to delete each; what no operator has deleted before goes when the driver ends.
+LEFT: dict[str, object] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
@@ -44,13 +52,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sylva_path = path
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    LEFT[path] = (where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where)
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a ``stored`` table that no plan needs any more."""
-    path = getattr(df, "_sylva_path", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of ``stored`` tables that no plan needs any more."""
+    for df in tables:
+        fs, where = LEFT.pop(getattr(df, "_sylva_path", None), (None, None))
+        if fs is not None:
+            fs.delete(where, True)
+
+
+@atexit.register
+def forget_all() -> None:
+    """Tables that results still stood on."""
+    for fs, where in LEFT.values():
+        with contextlib.suppress(Exception):  # the JVM may have ended
+            fs.delete(where, True)
+    LEFT.clear()

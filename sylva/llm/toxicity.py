@@ -137,7 +137,7 @@ class Finder:
         for n in STEMS:
             if word[:n] in self.stems and len(word) >= n:
                 best = max(best or (0.0, ""), (weights[word[:n] + "*"], word[:n] + "*"))
-        near = self.machine.nearest(word) if word not in self.model.harmless and len(word) < 40 else None
+        near = self.machine.nearest(word) if word not in self.model.harmless else None
         if near and near[0]:
             term = self.machine.terms[near[1]]
             weight = weights[term] * (1 - 0.15 * near[0])
@@ -206,7 +206,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
         for b in batches:
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
                 words = set(WORD.findall((text or "").lower()))
-                counts[y].update(w for w in words if 3 <= len(w) < 40)
+                counts[y].update(w for w in words if len(w) >= 3)
                 counts[y].update({w[:n] + "*" for w in words for n in STEMS if len(w) > n})
         terms = list(counts[0].keys() | counts[1].keys())
         for i in range(0, max(1, len(terms)), 50_000):
@@ -302,7 +302,12 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def toxicity(df: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id, held_out, score, predicted: learned from the labels of all folds but ``held``, one row per row of ``df``."""
+    """doc_id, held_out, score, predicted: learned from the labels of all folds but ``held``, one row per row of ``df``.
+
+    Rows without an id are scored like all others (their fold is that of the empty text), but carry no label; rows that repeat an
+    id are scored each, and each learned from. Of labels that contradict each other 1 counts. Between terms equally near to a word the first in
+    order counts, between equally frequent ones the first too.
+    """
     docs = docs_of(df, id_col, text_col)
     small_batches(df.sparkSession)
     model = learn(docs, labels, train=fold(F.col("doc_id"), folds) != held, **how)
