@@ -1,16 +1,23 @@
 """Removing repeated passages: every byte covered by a string of ``width`` bytes that also starts earlier.
 
 Anchors. Of each window's strings of ``GRAM`` bytes the one with the least hash is its anchor, so that equal windows have equal
-anchors at equal places. Anchors of all documents are exchanged by hash. An anchor whose whole neighbourhood (all windows that can
-hold it) occurred earlier covers that neighbourhood; where neighbourhoods of one anchor differ, the first of each
-kind goes on to the suffix array.
-
-Suffix array. The contexts of an anchor's neighbourhoods, to its right and (mirrored) to its left, become one text
-over an alphabet of byte blocks in their order. Its suffixes are sorted by linear grouping: groups of suffixes
+anchors at equal places. A task keeps, of a block of texts, the first anchor with each neighbourhood (all windows that can
+hold it) and knows at once that the others repeat it; the first ones are exchanged by hash. An anchor whose whole
+neighbourhood occurred earlier covers it; neighbourhoods are told apart by 128-bit digests. Where those of one anchor differ, the
+first of each kind goes on to the suffix array.
+
+Contexts. Two equal windows around an anchor are equal for half the way on one of its sides at least. So each
+anchor gives two contexts, keyed by a digest of its bytes and the half on the right, or on the left; a window is found under one of the
+two. Where too many contexts share a key, each is halved again: the half on either side of what is still free. So groups get small, or
+their members' windows are wholly equal, and no group is ever held as a whole.
+
+Suffix array. What the contexts of many groups have beyond their keys, to the right and (mirrored) to the left, becomes one text over the
+alphabet of ``BLOCK`` bytes in their order. Its suffixes are sorted by linear grouping: groups of suffixes
 by their Lyndon prefixes are worked off in descending order, each marking, through previous-smaller pointers, the suffixes
 whose prefix it prolongs; then each group's order is emitted from the order of what follows. Longest common
-prefixes of neighbours in that order tell which windows are equal: a window reaching j bytes to the right of the anchor
-is fixed by a run of right contexts that share j bytes and a run of left contexts that share the rest.
+prefixes of neighbours in that order, symbols compared and then the bytes of the first that differ, tell which windows are equal: a
+window reaching j bytes to the right of the anchor is fixed by a run of right contexts that share j bytes and a run of left
+contexts that share the rest.
 """
 
 from __future__ import annotations
@@ -20,15 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import small_batches, stored
+from .bpe import slices
+from .common import forget, small_batches, stored
 
 GRAM = 32
 BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 20  # bytes of a text that are hashed at once
+TEXTS = 8 << 20  # bytes of texts whose anchors are compared in their task
+AT_ONCE = 8192  # contexts that are sorted together
+BLOCK = 2  # bytes of a symbol
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -136,186 +147,281 @@ class Hasher:
             powers[0] = 1
             setattr(self, name, np.cumprod(powers, dtype=np.uint64))
 
-    def anchors(self, raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, hash of neighbourhood, place) of each anchor of a text. A long text is read in overlapping pieces."""
+    def anchors(self, raw: bytes, width: int, size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place) of each anchor of a text. A long text is read in overlapping pieces."""
         reach, found = width - GRAM, []
-        for at in range(0, max(1, len(raw) - width + 1), PIECE):
-            low, high = max(0, at - reach), min(len(raw), at + PIECE + width - 1 + reach)
-            found.append(self.piece(raw, low, high, at - low, min(len(raw), at + PIECE + width - 1) - low, width, len(raw)))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def piece(self, raw: bytes, low: int, high: int, first: int, last: int, width: int, total: int):
+        for at in range(0, max(1, len(raw) - width + 1), size):
+            low, high = max(0, at - reach), min(len(raw), at + size + width - 1 + reach)
+            found.append(self.piece(raw, low, high, at - low, min(len(raw), at + size + width - 1) - low, width))
+        if len(found) == 1:
+            return found[0]
+        h, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+        pos, once = np.unique(pos, return_index=True)  # pieces overlap
+        return h[once], pos
+
+    def piece(self, raw: bytes, low: int, high: int, first: int, last: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Anchors of the windows between ``first`` and ``last``, both counted from ``low``."""
         a = np.frombuffer(raw, np.uint8)[low:high].astype(np.uint64) + np.uint64(1)
         if len(a) >= len(self.up):
             self.grow(2 * len(a))
         sums = np.zeros(len(a) + 1, np.uint64)
         np.cumsum(a * self.up[: len(a)], out=sums[1:])
-        inside = slice(first, last - GRAM + 1)
-        h = mixed((sums[GRAM:] - sums[:-GRAM]) * self.down[: len(a) - GRAM + 1])[inside]
+        h = mixed((sums[GRAM:] - sums[:-GRAM]) * self.down[: len(a) - GRAM + 1])[first : last - GRAM + 1]
         reach = width - GRAM
         pad = np.zeros(reach, np.uint64)
         p = np.flatnonzero(slid(np.concatenate([pad, slid(h, reach + 1, np.minimum), pad]), reach + 1, np.maximum) == h)
-        at = p + first
-        lo, hi = np.maximum(at - reach, 0), np.minimum(at + width, len(a))
-        near = mixed((sums[hi] - sums[lo]) * self.down[lo] + (at - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (hi - at).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-        return h[p].view(np.int64), near.view(np.int64), at + low
+        return h[p].view(np.int64), p + first + low
+
+
+def neighbourhoods(raw: bytes, pos: np.ndarray, width: int) -> bytes:
+    """128-bit digests of all that the windows around each anchor can hold, with how much there is on its left."""
+    reach, digest = width - GRAM, xxhash.xxh3_128_digest
+    return b"".join([digest(raw[max(0, p - reach) : p + width], min(p, reach)) for p in pos.tolist()])
 
 
-def anchors(docs: DataFrame, width: int) -> DataFrame:
-    """h, near, did, pos."""
+def anchors(docs: DataFrame, width: int, piece: int = PIECE, texts: int = TEXTS) -> DataFrame:
+    """h, n1, n2 (halves of the neighbourhood's digest), did, pos; repeats: whether an anchor of the same block of texts with this neighbourhood comes earlier."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in batches:
-            got, ids = [], []
+        for b in slices(batches, texts):
+            got, ids, digests = [], [], []
             for did, text in zip(b.column("did").to_pylist(), b.column("text").to_pylist(), strict=True):
                 raw = text.encode()
                 if len(raw) >= width:
-                    got.append(hasher.anchors(raw, width))
+                    got.append(hasher.anchors(raw, width, piece))
                     ids.append(np.full(len(got[-1][0]), did))
-            if got:
-                h, near, pos = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(near), pa.array(np.concatenate(ids)), pa.array(pos.astype(np.int32))], ["h", "near", "did", "pos"])
-
-    return docs.mapInArrow(run, "h long, near long, did long, pos int")
+                    digests.append(neighbourhoods(raw, got[-1][1], width))
+            if not got:
+                continue
+            h, pos = (np.concatenate(x) for x in zip(*got, strict=True))
+            did, near = np.concatenate(ids), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            order = np.lexsort((pos, did, near[:, 1], near[:, 0]))
+            h, pos, did, near = h[order], pos[order], did[order], near[order]
+            again = np.zeros(len(h), bool)
+            again[1:] = (near[1:] == near[:-1]).all(1) & (h[1:] == h[:-1])
+            # one place of one document, read twice (rows that repeat an id), is no repetition
+            twice = np.zeros(len(h), bool)
+            twice[1:] = again[1:] & (did[1:] == did[:-1]) & (pos[1:] == pos[:-1])
+            some = ~twice
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(near[some, 0]), pa.array(near[some, 1]), pa.array(did[some]), pa.array(pos[some].astype(np.int32)), pa.array(again[some])], ["h", "n1", "n2", "did", "pos", "repeats"])
+
+    return docs.mapInArrow(run, "h long, n1 long, n2 long, did long, pos int, repeats boolean")
 
 
 # --- contexts of anchors whose neighbourhoods differ
 
 
-def blocks_text(sides: list[np.ndarray], groups: np.ndarray, block: int) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
-    """One text of all sides' distinct contexts; for each side where each distinct context begins, and which one each row has.
+def common_prefixes(groups: np.ndarray, sides: list[np.ndarray], block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each side (rows of bytes plus 1, 0 where a text has ended): each row's place among the side's distinct contexts in the order of the
+    suffix array, and, by place, how many bytes a context shares with the one before; -1 where another group begins.
 
-    A context is its group's number, its blocks, and an end that is smaller than all. Blocks are numbered in their order.
+    One text holds all distinct contexts: a number of group and side, symbols of ``block`` bytes, and an end that is smaller than all.
     """
-    per = sides[0].shape[1] // block
-    pieces = [np.ascontiguousarray(s).view(f"S{block}").reshape(len(s), per) for s in sides]
+    length = sides[0].shape[1]
+    per = -(-length // block)
+    padded = [np.pad(s, ((0, 0), (0, per * block - length))) for s in sides]
+    pieces = [np.ascontiguousarray(p).view(f"V{block}" if block not in (1, 2) else (">u2" if block == 2 else "u1")).reshape(len(p), per) for p in padded]
     names, numbers = np.unique(np.concatenate([p.ravel() for p in pieces]), return_inverse=True)
     numbers = numbers.reshape(len(sides), -1, per)
-    text, begins, which = [], [], []
-    base = len(names) + 1
+    base, text, begins, firsts, which = len(names) + 1, [], [], [], []
     for side, rows in enumerate(numbers):
-        known: dict[tuple, int] = {}
-        own, starts = np.empty(len(rows), np.int64), []
-        for i, (g, row) in enumerate(zip(groups.tolist(), map(tuple, rows.tolist()), strict=True)):
-            key = (g, row)
-            at = known.get(key)
-            if at is None:
-                at = known[key] = len(starts)
-                starts.append(len(text))
-                text.append(base + g * len(sides) + side)
-                text += [x + 1 for x in row]
-                text.append(0)
-            own[i] = at
-        begins.append(np.array(starts))
+        keyed = np.ascontiguousarray(np.concatenate([groups[:, None], rows], 1))
+        _, first, own = np.unique(keyed.view(f"V{keyed.shape[1] * keyed.itemsize}").ravel(), return_index=True, return_inverse=True)
+        whole = np.empty((len(first), per + 2), np.int64)
+        whole[:, 0] = base + groups[first] * len(sides) + side
+        whole[:, 1:-1] = rows[first] + 1
+        whole[:, -1] = 0
+        begins.append(len(text) + np.arange(len(first)) * (per + 2))
+        text += whole.ravel().tolist()
+        firsts.append(first)
         which.append(own)
-    return text, begins, which
-
-
-def repeated_windows(groups: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
-    """Whether each row's window that reaches j bytes right of its anchor occurs in an earlier row of its group: rows by j.
-
-    around: bytes plus 1 of each neighbourhood, 0 where the text has ended; left, right: how many bytes it has on either side.
-    """
-    reach = width - GRAM
-    sides = [around[:, :reach][:, ::-1], around[:, reach + GRAM :]]
-    text, begins, which = blocks_text(sides, groups, reach // 2)
     rank = np.empty(len(text), np.int64)
     rank[suffix_array(text)] = np.arange(len(text))
-    runs = []
-    for side, begin, own in zip(sides, begins, which, strict=True):
+    out = []
+    for side, begin, first, own in zip(sides, begins, firsts, which, strict=True):
         order = np.argsort(rank[begin])  # distinct contexts as the suffix array has them
-        example = np.empty(len(begin), np.int64)
-        example[own] = np.arange(len(own))
-        rows = example[order]
+        rows = first[order]
         common = np.full(len(rows), -1)
         if len(rows) > 1:
             same = side[rows[1:]] == side[rows[:-1]]
-            common[1:] = np.where(same.all(1), reach, same.argmin(1))
+            common[1:] = np.where(same.all(1), length, same.argmin(1))
             common[1:][groups[rows[1:]] != groups[rows[:-1]]] = -1
         at = np.empty(len(begin), np.int64)
         at[order] = np.arange(len(begin))
-        runs.append((common, at[own]))
-    out = np.zeros((len(groups), reach + 1), bool)
-    (left_common, left_at), (right_common, right_at) = runs
-    for j in range(reach + 1):
-        valid = np.flatnonzero((left >= reach - j) & (right >= j))
-        key = (np.cumsum(left_common < reach - j)[left_at[valid]] << 32) | np.cumsum(right_common < j)[right_at[valid]]
+        out.append((at[own], common))
+    return out
+
+
+def repeated_windows(groups: np.ndarray, left: np.ndarray, right: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+    """Whether a window occurs in an earlier row of its group: rows by i, the number of bytes that it takes of the right side.
+
+    A group's rows share all but their sides. left, right: rows of free bytes (plus 1, 0 where the text has ended), outwards from what is
+    shared; a window takes i of the one and all but i of the other. lefts, rights: how many each row has.
+    """
+    free = left.shape[1]
+    (left_at, left_common), (right_at, right_common) = common_prefixes(groups, [left, right])
+    out = np.zeros((len(groups), free + 1), bool)
+    for i in range(free + 1):
+        valid = np.flatnonzero((lefts >= free - i) & (rights >= i))
+        key = (np.cumsum(left_common < free - i)[left_at[valid]] << 32) | np.cumsum(right_common < i)[right_at[valid]]
         _, first = np.unique(key, return_index=True)
         again = np.ones(len(valid), bool)
         again[first] = False
-        out[valid, j] = again
+        out[valid, i] = again
     return out
 
 
-def around_anchors(joined: DataFrame, width: int) -> DataFrame:
-    """h, did, pos, around, left, right for every anchor listed with a text."""
+CONTEXT = "key binary, did long, pos int, r int, l int, around binary, gap int"  # r, l: shared bytes on the right and left of the anchor; gap: of its reach before it, missing
+
+
+def halves(around: bytes, gap: int, r: int, l: int, reach: int) -> Iterator[tuple[int, int, bytes]]:  # noqa: E741
+    """(r, l, key) of the two contexts whose windows are all those of a context that shares r and l bytes."""
+    at, half = reach - gap, (reach - r - l + 1) // 2
+    for more_r, more_l in ((r + half, l), (r, reach - r - half + 1)) if half else ():
+        a, b = at - more_l, at + GRAM + more_r
+        if a >= 0 and b <= len(around):
+            yield more_r, more_l, xxhash.xxh3_128_digest(around[a:b], more_r * reach + more_l)
+
+
+def contexts_of(joined: DataFrame, width: int) -> DataFrame:
+    """CONTEXT, two rows for every anchor listed with a text."""
     reach = width - GRAM
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for b in batches:
-            rows = []
             for did, text, found in zip(b.column("did").to_pylist(), b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
                 raw = text.encode()
-                for x in found:
-                    p = x["pos"]
-                    left = min(reach, p)
-                    piece = raw[p - left : p + width]
-                    rows.append((x["h"], did, p, piece, left, len(piece) - left - GRAM))
+                for p in found:
+                    around, gap = raw[max(0, p - reach) : p + width], max(0, reach - p)
+                    rows += [(key, did, p, r, l, around, gap) for r, l, key in halves(around, gap, 0, 0, reach)]
                     if len(rows) >= 20_000:
                         yield contexts_batch(rows)
                         rows = []
-            yield contexts_batch(rows)
+        yield contexts_batch(rows)
 
-    return joined.mapInArrow(run, "h long, did long, pos int, around binary, left int, right int")
+    return joined.mapInArrow(run, CONTEXT)
 
 
 def contexts_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "did", "pos", "around", "left", "right"])
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in CONTEXT.split(", ")])
 
 
-def resolved(contexts: DataFrame, width: int, at_once: int = 8192) -> DataFrame:
-    """did, span (start << 32 | end) of repeated windows. Rows come sorted by h, did, pos; whole groups are worked off together."""
+def halved(contexts: DataFrame, width: int) -> DataFrame:
+    """Contexts of groups that are too large, each as the two that share more."""
     reach = width - GRAM
 
-    def spans(rows: pa.Table) -> pa.RecordBatch:
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("did", "pos", "r", "l", "around", "gap")]
+            yield contexts_batch([(key, did, p, r2, l2, around, gap) for did, p, r, l, around, gap in zip(*columns, strict=True) for r2, l2, key in halves(around, gap, r, l, reach)])
+
+    return contexts.mapInArrow(run, CONTEXT)
+
+
+def resolved(contexts: DataFrame, width: int, at_once: int = AT_ONCE) -> DataFrame:
+    """did, span (start << 32 | end) of repeated windows. Rows come sorted by key, did, pos; groups have at most ``at_once`` rows, or share whole windows."""
+    reach = width - GRAM
+
+    def spans(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        r = rows.column("r").to_numpy()
+        l = rows.column("l").to_numpy()  # noqa: E741
+        for free in np.unique(reach - r - l).tolist():
+            yield of_kind(rows.filter(pa.array(reach - r - l == free)), free)
+
+    def of_kind(rows: pa.Table, free: int) -> pa.RecordBatch:
         n = rows.num_rows
-        left, right = rows.column("left").to_numpy(), rows.column("right").to_numpy()
-        around = np.zeros((n, width + reach), np.uint8)
-        for i, (piece, gap) in enumerate(zip(rows.column("around").to_pylist(), (reach - left).tolist(), strict=True)):
-            around[i, gap : gap + len(piece)] = np.frombuffer(piece, np.uint8) + 1
-        h = rows.column("h").to_numpy()
-        groups = np.cumsum(np.r_[0, h[1:] != h[:-1]])
-        again = np.zeros((n, reach + 3), np.int8)
-        again[:, 1:-1] = repeated_windows(groups, around, left, right, width)
+        r, l, gap, pos, did = (rows.column(c).to_numpy().astype(np.int64) for c in ("r", "l", "gap", "pos", "did"))  # noqa: E741
+        around = np.zeros((n, width + reach), np.uint8)  # bytes plus 1, 0 where there is no text; 255 has no successor, but is in no UTF-8
+        for i, (piece, at) in enumerate(zip(rows.column("around").to_pylist(), gap.tolist(), strict=True)):
+            around[i, at : at + len(piece)] = np.frombuffer(piece, np.uint8) + 1
+        places = np.arange(free)
+        right = np.take_along_axis(around, (reach + GRAM + r)[:, None] + places, 1)
+        left = np.take_along_axis(around, (reach - 1 - l)[:, None] - places, 1)
+        keys = rows.column("key").to_numpy(zero_copy_only=False)
+        groups = np.cumsum(np.r_[0, keys[1:] != keys[:-1]])
+        again = np.zeros((n, free + 3), np.int8)
+        again[:, 1:-1] = repeated_windows(groups, left, right, (left > 0).sum(1), (right > 0).sum(1))
         step = np.diff(again, axis=1)
         who, first = np.nonzero(step == 1)
         _, last = np.nonzero(step == -1)
-        start = rows.column("pos").to_numpy()[who].astype(np.int64) - reach
-        return pa.RecordBatch.from_arrays([pa.array(rows.column("did").to_numpy()[who]), pa.array(((start + first) << 32) | (start + last - 1 + width))], ["did", "span"])
+        start = pos[who] - reach + r[who]  # of the window that takes nothing more on the right
+        return pa.RecordBatch.from_arrays([pa.array(did[who]), pa.array(((start + first) << 32) | (start + last - 1 + width))], ["did", "span"])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: list[pa.RecordBatch] = []
+        n, last = 0, None  # rows held, all of groups that are whole but for the last one
+        before = None  # the last row of a group that shares whole windows
         for b in batches:
+            whole = b.column("r").to_numpy() + b.column("l").to_numpy() == reach
+            if whole.any():
+                same = b.filter(pa.array(whole))
+                keys, did, pos, r = (same.column(c).to_pylist() for c in ("key", "did", "pos", "r"))
+                out = []
+                for k, d, p, x in zip(keys, did, pos, r, strict=True):
+                    if before is not None and before[0] == k and before[1:] != (d, p):
+                        out.append((d, (p - reach + x) << 32 | (p - reach + x + width)))
+                    before = (k, d, p)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["did", "span"])
+            b = b.filter(pa.array(~whole))
+            if not b.num_rows:
+                continue
             held.append(b)
             n += b.num_rows
             if n >= at_once:
                 rows = pa.Table.from_batches(held).combine_chunks()
-                h = rows.column("h").to_numpy()
-                begin = int(np.searchsorted(h, h[-1]))  # where the last group begins; it may go on
+                keys = rows.column("key").to_numpy(zero_copy_only=False)
+                last = keys[-1]
+                begin = n - int(np.argmax(keys[::-1] != last)) if (keys != last).any() else 0  # where the last group begins; it may go on
                 if begin:
-                    yield spans(rows.slice(0, begin))
+                    yield from spans(more_than_one(rows.slice(0, begin)))
                 rest = rows.slice(begin).combine_chunks()
                 held, n = rest.to_batches(), rest.num_rows
         if n:
-            yield spans(pa.Table.from_batches(held).combine_chunks())
+            yield from spans(more_than_one(pa.Table.from_batches(held).combine_chunks()))
 
     return contexts.mapInArrow(run, "did long, span long")
 
 
+def more_than_one(rows: pa.Table) -> pa.Table:
+    """The rows, in order of their keys, without those that are alone with theirs, or that are there twice (documents that repeat an id)."""
+    did, pos = rows.column("did").to_numpy(), rows.column("pos").to_numpy()
+    twice = np.r_[False, (did[1:] == did[:-1]) & (pos[1:] == pos[:-1])]
+    for i in np.flatnonzero(twice).tolist():
+        twice[i] = all(rows.column(c)[i] == rows.column(c)[i - 1] for c in ("key", "around"))
+    if twice.any():
+        rows = rows.filter(pa.array(~twice)).combine_chunks()
+    keys = rows.column("key").to_numpy(zero_copy_only=False)
+    like_last = np.r_[False, keys[1:] == keys[:-1]]
+    return rows.filter(pa.array(like_last | np.r_[like_last[1:], False])).combine_chunks()
+
+
+def repeated_contexts(contexts: DataFrame, width: int, at_once: int) -> tuple[DataFrame, list[DataFrame]]:
+    """did, span of repeated windows, and the tables to delete afterwards. Groups of more than ``at_once`` are halved until none is left, or only whole windows."""
+    found, tables = [], []
+    while True:
+        contexts = stored(contexts, "contexts")
+        tables.append(contexts)
+        free = F.col("r") + F.col("l") < width - GRAM
+        large = contexts.where(free).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once).select("key", F.lit(True).alias("large"))
+        large = stored(large, "large")
+        tables.append(large)
+        if large.isEmpty():
+            found.append(contexts)
+            break
+        both = contexts.join(large, "key", "left")
+        found.append(both.where("large is null").drop("large"))
+        contexts = halved(both.where("large").drop("large"), width)
+    out = [resolved(c.repartition("key").sortWithinPartitions("key", "did", "pos", "around"), width, at_once) for c in found]
+    spans = out[0]
+    for more in out[1:]:
+        spans = spans.unionByName(more)
+    return spans, tables
+
+
 # --- the operator
 
 
@@ -342,38 +448,42 @@ def key_of(id_col: Column) -> Column:
     return F.coalesce(id_col.cast("long"), F.lit((1 << 63) - 1))
 
 
-def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int, piece: int = PIECE, texts: int = TEXTS, at_once: int = AT_ONCE) -> DataFrame:
     """did, spans: all stretches of each document (did, text) that occurred earlier; documents without any are missing."""
     reach = width - GRAM
-    order = Window.partitionBy("h").orderBy("near", "did", "pos")
+    order = Window.partitionBy("h").orderBy("n1", "n2", "did", "pos")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = F.struct("n1", "n2")
+    every_anchor = stored(anchors(docs, width, piece, texts), "all-anchors")
     rows = (
-        anchors(docs, width)
-        .select("*", F.count(F.lit(1)).over(every).alias("n"), (F.min("near").over(every) != F.max("near").over(every)).alias("differ"), F.lag("near").over(order).alias("p1"), F.lag("did").over(order).alias("p2"), F.lag("pos").over(order).alias("p3"))
+        every_anchor.where("not repeats").drop("repeats")
+        .select("*", F.count(F.lit(1)).over(every).alias("n"), (F.min(near).over(every) != F.max(near).over(every)).alias("differ"), F.lag("n1").over(order).alias("p0"), F.lag("n2").over(order).alias("p1"), F.lag("did").over(order).alias("p2"), F.lag("pos").over(order).alias("p3"))
         .where("n > 1")
     )
-    known = F.col("p1").eqNullSafe(F.col("near"))
+    known = F.col("p0").eqNullSafe(F.col("n1")) & F.col("p1").eqNullSafe(F.col("n2"))
     twice = known & F.col("p2").eqNullSafe(F.col("did")) & F.col("p3").eqNullSafe(F.col("pos"))  # one place, read twice
-    found = stored(rows.where(~twice & (known | F.col("differ"))).select("h", "did", "pos", known.alias("known")), "anchors")
-    whole = found.where("known").select("did", (F.shiftleft(F.greatest(F.col("pos").cast("long") - reach, F.lit(0)), 32).bitwiseOR(F.col("pos").cast("long") + width)).alias("span"))
-    lists = found.where("not known").groupBy("did").agg(F.collect_list(F.struct("h", "pos")).alias("found"))
-    contexts = around_anchors(docs.join(lists.hint("shuffle_hash"), "did").select("did", "text", "found"), width)
-    partial = resolved(contexts.repartition("h").sortWithinPartitions("h", "did", "pos"), width)
-    return whole.unionByName(partial).groupBy("did").agg(F.collect_list("span").alias("spans"))
+    found = stored(rows.where(~twice & (known | F.col("differ"))).select("did", "pos", known.alias("known")), "anchors")
+    alike = found.where("known").select("did", "pos").unionByName(every_anchor.where("repeats").select("did", "pos"))
+    whole = alike.select("did", (F.shiftleft(F.greatest(F.col("pos").cast("long") - reach, F.lit(0)), 32).bitwiseOR(F.col("pos").cast("long") + width)).alias("span"))
+    lists = found.where("not known").groupBy("did").agg(F.collect_list("pos").alias("found"))
+    partial, tables = repeated_contexts(contexts_of(docs.join(lists.hint("shuffle_hash"), "did").select("did", "text", "found"), width), width, at_once)
+    out = stored(whole.unionByName(partial).groupBy("did").agg(F.collect_list("span").alias("spans")), "spans")
+    forget(found, every_anchor, *tables)
+    return out
 
 
-def remove_repeats(df: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the bytes left), spans (array of start, end), one row per row of ``df``.
 
     Texts count as UTF-8; null texts are empty. Matches never cross documents; ids order documents, null ids last. A text
     shorter than ``width`` keeps all. Rows that repeat an id count as one document if their texts are equal; texts that differ
-    under one id are judged together.
+    under one id are judged together. ``sizes`` (piece, texts, at_once) bound what a task holds; they change no result.
     """
     if width < GRAM + 4 or (width - GRAM) % 2:
         raise ValueError("width must be even and at least 36")
     small_batches(df.sparkSession)
     docs = df.select(key_of(df[id_col]).alias("did"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(docs, width)
+    spans = repeated_spans(docs, width, **sizes)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
@@ -397,8 +507,8 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     small_batches(docs.sparkSession)
     key = key_of(docs["doc_id"])
     spans = repeated_spans(docs.select(key.alias("did"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")), width)
-    joined = docs.withColumn("__did", key).join(spans.select(F.col("did").alias("__of"), F.col("spans").alias("__spans")).hint("shuffle_hash"), F.col("__did") == F.col("__of"), "left").drop("__did", "__of")
     names = docs.columns
+    joined = docs.join(spans.hint("shuffle_hash"), key == spans["did"], "left").select(*[docs[c] for c in names], spans["spans"])
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches) -> Iterator[pa.RecordBatch]:

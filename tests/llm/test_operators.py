@@ -165,10 +165,40 @@ def test_suffix(docs, rows):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()), i
     assert sum(map(sum, expected.values())) > 500
+    few = by_id(suffix.remove_repeats(docs, piece=150, texts=400, at_once=3))  # pieces, blocks and groups of the smallest sizes
+    assert {i: (r.n_removed, r.n_spans, r.kept_sha256) for i, r in few.items()} == {i: (r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()}
     left = by_id(suffix.without_repeats(docs))
     assert len(left) == len(rows) and left[0].lang == "fr" and all(left[i].text == t for i, t in rows if not sum(expected[i]))
 
 
+def test_suffix_odd_rows(spark):
+    rng = random.Random(12)
+    line, passage = prose(rng, 14)[:88], prose(rng, 60)
+    rows = [(i, prose(rng, 8) + line + prose(rng, 8)) for i in range(40)]  # one common line, too short to go, in different surroundings
+    rows += [(100 + i, prose(rng, 6) + " " + passage[i:] + prose(rng, 6)) for i in range(25)]
+    rows += [(200, "ab" * 300), (201, "ab" * 300), (202, "ba" * 70), (203, "\u00e9" * 300), (204, line * 3), (205, "\x00" * 250)]
+    thue = "0"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("01", "10"))
+    rows += [(300, thue[:1024]), (301, thue[1024:])]  # polynomial hashes modulo 2^64 take such texts for each other
+    same = rows[45]
+    df = spark.createDataFrame([*rows, same, (None, passage), (None, passage)], "doc_id long, text string")
+    for how in ({}, {"at_once": 4, "texts": 500, "piece": 130}):
+        got = suffix.remove_repeats(df, **how).collect()
+        expected = spans_of(rows)
+        for r in got:
+            if r.doc_id is not None:
+                b = dict(rows)[r.doc_id].encode()
+                kept = bytes(x for x, g in zip(b, expected[r.doc_id], strict=True) if not g)
+                assert (r.n_removed, r.kept_sha256) == (sum(expected[r.doc_id]), hashlib.sha256(kept).hexdigest()), (r.doc_id, how)
+            else:
+                assert r.n_removed > 0
+        assert len(got) == len(rows) + 3
+    wide = df.selectExpr("*", "text as spans", "1 as did", "'x' as __did")
+    left = suffix.without_repeats(wide)
+    assert left.columns == wide.columns and left.count() == len(rows) + 3
+
+
 def test_minhash(docs, rows):
     got = by_id(minhash.near_duplicates(docs))
     sets = {}
