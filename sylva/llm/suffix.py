@@ -508,7 +508,10 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     key = key_of(docs["doc_id"])
     spans = repeated_spans(docs.select(key.alias("did"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")), width)
     names = docs.columns
-    joined = docs.join(spans.hint("shuffle_hash"), key == spans["did"], "left").select(*[docs[c] for c in names], spans["spans"])
+    taken = {n.lower() for n in names}
+    of, found_in = (next(n for n in (f"{x}{'_' * i}" for i in range(len(names) + 1)) if n.lower() not in taken) for x in ("did", "spans"))
+    renamed = spans.select(F.col("did").alias(of), F.col("spans").alias(found_in))
+    joined = docs.join(renamed.hint("shuffle_hash"), key == F.col(of), "left").select(*[docs[c] for c in names], F.col(found_in))
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches) -> Iterator[pa.RecordBatch]:
