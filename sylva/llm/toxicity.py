@@ -10,6 +10,7 @@ near it weaken the hit. A logistic model turns the hits of a document into a sco
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -56,14 +57,16 @@ class Machine:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits_for(term))
             self.ends[node] = i
-        self.limit = 200_000
+        #: bounds of what is kept: moves, and bytes of states
+        self.most_moves, self.most_bytes = 400_000, 64 << 20
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
+        self.states: list[bytes] = []  # nodes times 4 plus edits, as 32-bit numbers in order
+        self.number: dict[bytes, int] = {}
         self.accepts: list[tuple[int, int] | None] = []
-        self.moves: dict[tuple[int, str], int] = {}
+        self.moves: dict[int, int] = {}  # from a state's number and a letter's
+        self.held = 0
         self.start = self.state({0: 0})
 
     def state(self, best: dict[int, int]) -> int:
@@ -78,17 +81,19 @@ class Machine:
                         todo.append((child, e + 1))
         if not best:
             return -1
-        key = tuple(sorted(best.items()))
+        key = array("I", sorted([node << 2 | e for node, e in best.items()])).tobytes()
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            ends = [(e, self.ends[n]) for n, e in key if self.ends[n] >= 0 and e <= edits_for(self.terms[self.ends[n]])]
+            self.held += len(key) + 200
+            ends = [(e, self.ends[n]) for n, e in best.items() if self.ends[n] >= 0 and e <= edits_for(self.terms[self.ends[n]])]
             self.accepts.append(min(ends) if ends else None)
         return self.number[key]
 
     def move(self, state: int, c: str) -> int:
         best: dict[int, int] = {}
-        for node, e in self.states[state]:
+        for x in memoryview(self.states[state]).cast("I"):
+            node, e = x >> 2, x & 3
             for d, child in self.children[node].items():
                 cost = e + (c != d)
                 if cost <= self.reach[child] and cost < best.get(child, 99):
@@ -99,13 +104,14 @@ class Machine:
 
     def nearest(self, word: str) -> tuple[int, int] | None:
         """(edits, index of term) of the nearest term within its allowance, ties by index."""
-        if len(self.states) > self.limit:
+        if len(self.moves) > self.most_moves or self.held > self.most_bytes:
             self.clear()
         state = self.start
         for c in word:
-            after = self.moves.get((state, c))
+            step = state << 21 | ord(c)
+            after = self.moves.get(step)
             if after is None:
-                after = self.moves[state, c] = self.move(state, c)
+                after = self.moves[step] = self.move(state, c)
             if after < 0:
                 return None
             state = after
