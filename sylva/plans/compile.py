@@ -11,6 +11,8 @@ only after steps that can make them, and order is left to sinks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import fields, is_dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,6 +119,42 @@ class Engine:
             raise XPathError(f"no variable ${name}")
         return self.variables[name]
 
+    # --- what an expression looks at outside the node it is evaluated for
+
+    def local(self, ast) -> bool:
+        """Whether it depends on the outermost context: by current(), or by variables that are columns or sets of that context."""
+        return any((isinstance(x, Call) and x.name == "current") or (isinstance(x, Variable) and isinstance(self.variables.get(x.name), tuple)) for x in walk(ast))
+
+    @staticmethod
+    def outer(df: DataFrame, name: str) -> Column | None:
+        """The field ``name`` of the nearest iteration around a frame's nodes that has it."""
+        kind, col = df.schema["it"].dataType, F.col("it")
+        while isinstance(kind, T.StructType):
+            if name in kind.names:
+                return col.getField(name)
+            if "o" not in kind.names:
+                break
+            kind, col = kind["o"].dataType, col.getField("o")
+        return F.col(f"`{name}`") if name in df.columns else None
+
+    @staticmethod
+    def current_fields(ast) -> list[Column]:
+        """What current() needs to know of the nodes of a frame: their keys, and the attributes that are asked for."""
+        if not any(isinstance(x, Call) and x.name == "current" for x in walk(ast)):
+            return []
+        names = {x.steps[0].test.local for x in walk(ast) if current_attribute(x)}
+        return [F.struct(*N.KEY).alias("#current"), *[F.col("attrs").getItem(n).alias(f"#current {n}") for n in sorted(names)]]
+
+    def outer_value(self, ast, df: DataFrame) -> tuple[Column, str] | None:
+        """(column, kind) of a variable of the outermost context, or of an attribute of current()."""
+        if isinstance(ast, Variable) and isinstance(v := self.variables.get(ast.name), tuple) and v[1] != NODES:
+            col = self.outer(df, v[0])
+            return None if col is None else (col, v[1])
+        if current_attribute(ast):
+            col = self.outer(df, f"#current {ast.steps[0].test.local}")
+            return None if col is None else (col, STRING)
+        return None
+
     # --- node sets
 
     def evaluate(self, ast, context: DataFrame | None) -> DataFrame:
@@ -143,6 +181,12 @@ class Engine:
         context = self.roots() if context is None else context
         if isinstance(ast, Variable):
             bound = self.variable(ast.name)
+            if isinstance(bound, tuple) and bound[1] == NODES:  # a set for each context: its rows have the context's number
+                number = self.outer(context, bound[0])
+                if number is None:
+                    raise XPathError(f"${ast.name} is not seen here")
+                own = bound[2].select(F.col("_of"), *N.COLUMNS)
+                return context.select("it", number.alias("_in")).distinct().join(own, F.col("_in") == F.col("_of")).select("it", *N.COLUMNS)
             return context.select("it").distinct().crossJoin(bound.select(*N.COLUMNS)) if isinstance(bound, DataFrame) else self.wrong(ast)
         if isinstance(ast, Call):
             return self.node_function(ast, context)
@@ -267,7 +311,7 @@ class Engine:
             order = [F.desc("pre"), F.desc("aord")] if reverse else [F.asc("pre"), F.asc("aord")]
             window = Window.partitionBy(*group)
             df = df.withColumn("_pos", F.row_number().over(window.orderBy(F.asc("doc_id"), *order)).cast("double"))
-            if "last" in str(predicate):
+            if any(isinstance(x, Call) and x.name == "last" for x in walk(predicate)):
                 df = df.withColumn("_last", F.count(F.lit(1)).over(window).cast("double"))
             df, col = self.scalar(predicate, df, kind)
             return df.where(F.col("_pos") == col if kind == NUMBER else col).select(*columns)
@@ -276,7 +320,7 @@ class Engine:
         grouped = self.first_of_group(predicate, df)
         if grouped is not None:
             return grouped
-        col = self.plain(predicate)
+        col = self.plain(predicate, df)
         if col is not None:
             return df.where(col)
         wanted, positive = predicate, True
@@ -285,7 +329,8 @@ class Engine:
             wanted = wanted.args[0]
         hits = self.hits(wanted, df)
         if hits is not None:
-            return df.join(hits, [df[c] == hits[f"_{c}"] for c in N.KEY], "left_semi" if positive else "left_anti")
+            same = [df[c] == hits[f"_{c}"] for c in N.KEY] + ([df["it"] == hits["_o"]] if "_o" in hits.columns else [])
+            return df.join(hits, same, "left_semi" if positive else "left_anti")
         df, col = self.scalar(predicate, df, BOOLEAN)
         return df.where(col).select(*columns)
 
@@ -307,10 +352,10 @@ class Engine:
         heads = self.index(name).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*[F.col(c).alias(f"_{c}") for c in N.KEY])
         return df.join(heads, [df[c] == heads[f"_{c}"] for c in N.KEY], "left_semi")
 
-    def plain(self, ast) -> Column | None:
-        """A condition on the node's own row, if the expression is one: no join at all."""
+    def plain(self, ast, df: DataFrame) -> Column | None:
+        """A condition on the node's own row, and on values of the outermost context, if the expression is one: no join of its own."""
         if isinstance(ast, Op) and ast.name in ("and", "or"):
-            a, b = map(self.plain, ast.args)
+            a, b = (self.plain(x, df) for x in ast.args)
             return None if a is None or b is None else (a & b if ast.name == "and" else a | b)
         if isinstance(ast, Op) and ast.name in COMPARISONS:
             for a, b, op in ((*ast.args, ast.name), (ast.args[1], ast.args[0], FLIPPED.get(ast.name, ast.name))):
@@ -321,10 +366,16 @@ class Engine:
                         return own.isNotNull() & (own == other.value if op == "=" else own != other.value)
                     number = S.to_number(F.lit(other.value)) if isinstance(other.value, str) else F.lit(float(other.value))
                     return own.isNotNull() & F.coalesce(S.compare(op, S.to_number(own), number), F.lit(False))
+                far = self.outer_value(b, df) if own is not None else None
+                if far is not None and far[1] in (STRING, NUMBER):
+                    col, kind = far
+                    if kind == STRING and op in ("=", "!="):
+                        return own.isNotNull() & col.isNotNull() & (own == col if op == "=" else own != col)
+                    return own.isNotNull() & col.isNotNull() & S.compare(op, S.to_number(own), S.to_number(col) if kind == STRING else col)
             return None
         if isinstance(ast, Call) and ast.name == "not":
-            inner = self.plain(ast.args[0])
-            return None if inner is None else ~inner
+            inner = self.plain(ast.args[0], df)
+            return None if inner is None else ~F.coalesce(inner, F.lit(False))
         own = self.own_attribute(ast)
         return None if own is None else own.isNotNull()
 
@@ -336,17 +387,23 @@ class Engine:
                 return F.when(F.col("kind") == N.ELEMENT, F.col("attrs").getItem(N.clark(self.namespace(s.test.prefix), s.test.local)))
         return None
 
-    def inner(self, df: DataFrame) -> DataFrame:
-        """The nodes of a frame as contexts of their own."""
+    def inner(self, df: DataFrame, ast) -> DataFrame:
+        """The nodes of a frame as contexts of their own, for an expression; if it depends on the outermost context, iterations keep those around them."""
+        if self.local(ast):
+            first = [] if self.outer(df, "#current") is not None else self.current_fields(ast)
+            return df.select(F.struct(F.col("it").alias("o"), *N.KEY, *first).alias("it"), *N.COLUMNS)
         out = df.select(F.struct(*N.KEY).alias("it"), *N.COLUMNS)
         return out if isinstance(df.schema["it"].dataType, T.LongType) else out.dropDuplicates(N.KEY)
 
     @staticmethod
     def keyed(hits: DataFrame) -> DataFrame:
-        return hits.select(*[F.col(f"it.{c}").alias(f"_{c}") for c in N.KEY])
+        around = [F.col("it.o").alias("_o")] if "o" in hits.schema["it"].dataType.names else []
+        return hits.select(*[F.col(f"it.{c}").alias(f"_{c}") for c in N.KEY], *around)
 
     def absolute(self, ast) -> bool:
         """Whether a set is the same for all nodes of a document."""
+        if self.local(ast):
+            return False
         return (isinstance(ast, Path) and (ast.start == "root" or (ast.start is not None and self.absolute(ast.start)))) or (isinstance(ast, Filter) and self.absolute(ast.base))
 
     def hits(self, ast, df: DataFrame) -> DataFrame | None:
@@ -355,7 +412,7 @@ class Engine:
             if self.absolute(ast):
                 docs = self.evaluate(ast, None).select("doc_id").distinct()
                 return df.join(docs, "doc_id", "left_semi").select(*[F.col(c).alias(f"_{c}") for c in N.KEY])
-            return self.keyed(self.evaluate(ast, self.inner(df)))
+            return self.keyed(self.evaluate(ast, self.inner(df, ast)))
         if not (isinstance(ast, Op) and ast.name in COMPARISONS):
             return None
         (a, b), op = ast.args, ast.name
@@ -366,21 +423,25 @@ class Engine:
         if self.kind(b) == NODES:
             if self.absolute(a) and not self.absolute(b):
                 a, b, op = b, a, FLIPPED.get(op, op)
-            one = self.with_string(self.evaluate(a, self.inner(df)), a).select("it", F.col("it.doc_id").alias("_d"), F.col("_s").alias("_x"))
+            both = Op("=", (a, b))
+            one = self.with_string(self.evaluate(a, self.inner(df, both)), a).select("it", F.col("it.doc_id").alias("_d"), F.col("_s").alias("_x"))
             if self.absolute(b):
                 two = self.with_string(self.evaluate(b, None), b).select(F.col("it").alias("_e"), F.col("_s").alias("_y"))
                 same = F.col("_d") == F.col("_e")
             else:
-                two = self.with_string(self.evaluate(b, self.inner(df)), b).select(F.col("it").alias("_e"), F.col("_s").alias("_y"))
+                two = self.with_string(self.evaluate(b, self.inner(df, both)), b).select(F.col("it").alias("_e"), F.col("_s").alias("_y"))
                 same = F.col("it") == F.col("_e")
-            if op in ("=", "!="):
-                return self.keyed(one.join(two.distinct(), same & (F.col("_x") == F.col("_y") if op == "=" else F.col("_x") != F.col("_y")), "left_semi"))
+            if op == "=":
+                return self.keyed(one.join(two.distinct(), same & (F.col("_x") == F.col("_y")), "left_semi"))
+            if op == "!=":  # a value differs from some of the others unless it is the only one
+                ends = two.groupBy("_e").agg(F.min("_y").alias("_low"), F.max("_y").alias("_high"))
+                return self.keyed(one.join(ends, same & ((F.col("_x") != F.col("_low")) | (F.col("_x") != F.col("_high"))), "left_semi"))
             # of the other set only the extreme counts
             y = S.to_number(F.col("_y"))
             ends = two.select("_e", y.alias("_y")).where(~F.isnan("_y")).groupBy("_e").agg((F.max if op in ("<", "<=") else F.min)("_y").alias("_y"))
             return self.keyed(one.join(ends, same & S.compare(op, S.to_number(F.col("_x")), F.col("_y")), "left_semi"))
         if isinstance(b, Literal) or (isinstance(b, Variable)):
-            found = self.with_string(self.evaluate(a, self.inner(df)), a)
+            found = self.with_string(self.evaluate(a, self.inner(df, ast)), a)
             _, value = self.scalar(b, found, self.kind(b))
             if self.kind(b) == STRING and op in ("=", "!="):
                 return self.keyed(found.where(F.col("_s") == value if op == "=" else F.col("_s") != value))
@@ -425,13 +486,19 @@ class Engine:
     def attach(self, df: DataFrame, found: DataFrame, columns: dict) -> DataFrame:
         """Left join of per-node results (it = node key) with defaults: name -> (column, default)."""
         tag = self.fresh()
-        right = found.select(*[F.col(f"it.{c}").alias(f"{tag}_{c}") for c in N.KEY], *[c.alias(name) for name, (c, _) in columns.items()])
-        df = df.join(right, [F.col(c) == F.col(f"{tag}_{c}") for c in N.KEY], "left").drop(*[f"{tag}_{c}" for c in N.KEY])
+        around = "o" in found.schema["it"].dataType.names
+        right = found.select(*[F.col(f"it.{c}").alias(f"{tag}_{c}") for c in N.KEY], *([F.col("it.o").alias(f"{tag}_o")] if around else []), *[c.alias(name) for name, (c, _) in columns.items()])
+        same = [F.col(c) == F.col(f"{tag}_{c}") for c in N.KEY] + ([F.col("it") == F.col(f"{tag}_o")] if around else [])
+        df = df.join(right, same, "left").drop(*[f"{tag}_{c}" for c in (*N.KEY, "o")])
         return df.withColumns({name: F.coalesce(F.col(name), F.lit(default)) for name, (_, default) in columns.items()})
 
     def of_nodes(self, ast, df: DataFrame, kind: str) -> tuple[DataFrame, Column]:
         attribute = self.own_attribute(ast)
-        if kind != BOOLEAN and self.joined.get(ast) in df.columns:
+        far = self.outer_value(ast, df)
+        if far is not None:
+            text = F.coalesce(far[0], F.lit(""))
+            return df, {STRING: text, NUMBER: S.to_number(text), BOOLEAN: far[0].isNotNull()}[kind]
+        if kind != BOOLEAN and not self.local(ast) and self.joined.get(ast) in df.columns:
             text = F.col(self.joined[ast])
             return df, text if kind == STRING else S.to_number(text)
         name = self.fresh()
@@ -442,7 +509,7 @@ class Engine:
             df = self.with_string(df, ast).withColumnRenamed("_s", name)
             self.joined[ast] = name
             return df, F.col(name) if kind == STRING else S.to_number(F.col(name))
-        found = self.evaluate(ast, self.inner(df))
+        found = self.evaluate(ast, self.inner(df, ast))
         if kind == BOOLEAN:
             return (out := self.attach(df, found.select("it").distinct(), {name: (F.lit(True), False)})), out[name]
         first = self.with_string(found, ast).groupBy("it").agg(F.min_by("_s", F.struct(*N.KEY)).alias("_x"))
@@ -450,14 +517,14 @@ class Engine:
         self.joined[ast] = name
         return out, F.col(name) if kind == STRING else S.to_number(F.col(name))
 
-    def aggregated(self, ast, df: DataFrame, what: Column, default) -> tuple[DataFrame, Column]:
+    def aggregated(self, ast, df: DataFrame, what: Column, default, strings: bool = True) -> tuple[DataFrame, Column]:
         name = self.fresh()
         if self.absolute(ast):
             found = self.with_string(self.evaluate(ast, None), ast).groupBy(F.col("doc_id").alias("_d3")).agg(what.alias(name))
             df = df.join(found, F.col("doc_id") == F.col("_d3"), "left").drop("_d3")
         else:
-            found = self.evaluate(ast, self.inner(df))
-            found = (found if "count" in str(what) else self.with_string(found, ast)).groupBy("it").agg(what.alias("_x"))
+            found = self.evaluate(ast, self.inner(df, ast))
+            found = (self.with_string(found, ast) if strings else found).groupBy("it").agg(what.alias("_x"))
             return (out := self.attach(df, found, {name: (F.col("_x"), default)})), F.col(name)
         return df, F.coalesce(F.col(name), F.lit(default))
 
@@ -466,7 +533,9 @@ class Engine:
             return df, F.lit(float(ast.value) if self.kind(ast) == NUMBER else ast.value)
         if isinstance(ast, Variable):
             v = self.variable(ast.name)
-            return (df, F.col(v[0])) if isinstance(v, tuple) else (df, F.lit(float(v) if self.kind(ast) == NUMBER else v))
+            if isinstance(v, tuple) and self.outer(df, v[0]) is None:
+                raise XPathError(f"${ast.name} is not seen here")
+            return (df, self.outer(df, v[0])) if isinstance(v, tuple) else (df, F.lit(float(v) if self.kind(ast) == NUMBER else v))
         if isinstance(ast, Op):
             if ast.name in ("and", "or"):
                 df, a = self.scalar(ast.args[0], df, BOOLEAN)
@@ -483,15 +552,16 @@ class Engine:
         return self.call(ast, df)
 
     def comparison(self, ast, df: DataFrame) -> tuple[DataFrame, Column]:
-        plain = self.plain(ast)
+        plain = self.plain(ast, df)
         if plain is not None:
-            return df, plain
+            return df, F.coalesce(plain, F.lit(False))
         kinds = [self.kind(a) for a in ast.args]
         if NODES in kinds and BOOLEAN not in kinds:
             hits = self.hits(ast, df)
             if hits is not None:
                 name = self.fresh()
-                found = hits.distinct().select(F.struct(*[F.col(f"_{c}").alias(c) for c in N.KEY]).alias("it"))
+                around = [F.col("_o").alias("o")] if "_o" in hits.columns else []
+                found = hits.distinct().select(F.struct(*around, *[F.col(f"_{c}").alias(c) for c in N.KEY]).alias("it"))
                 return (out := self.attach(df, found, {name: (F.lit(True), False)})), out[name]
         if ast.name in ("=", "!="):
             kind = BOOLEAN if BOOLEAN in kinds else NUMBER if NUMBER in kinds else STRING
@@ -581,7 +651,7 @@ class Engine:
             return df, F.lit(name == "true")
         if name == "lang":
             line = Path(None, (Step("ancestor-or-self", Test("name", "*", None), (Path(None, (Step("attribute", Test("name", "lang", "xml")),)),)),))
-            found = self.evaluate(line, self.inner(df)).groupBy("it").agg(F.max_by(F.col("attrs").getItem(N.clark(XML, "lang")), "level").alias("_x"))
+            found = self.evaluate(line, self.inner(df, line)).groupBy("it").agg(F.max_by(F.col("attrs").getItem(N.clark(XML, "lang")), "level").alias("_x"))
             tag = self.fresh()
             df = self.attach(df, found, {tag: (F.col("_x"), "")})
             wanted = get(0, STRING)
@@ -597,7 +667,7 @@ class Engine:
         raise XPathError(f"no function {name!r}")
 
     def counted(self, ast, df: DataFrame) -> tuple[DataFrame, Column]:
-        df, col = self.aggregated(ast, df, F.count(F.lit(1)), 0)
+        df, col = self.aggregated(ast, df, F.count(F.lit(1)), 0, False)
         return df, col.cast("double")
 
     def name_function(self, name: str, ast, df: DataFrame) -> tuple[DataFrame, Column]:
@@ -611,7 +681,7 @@ class Engine:
         if ast is None or (isinstance(ast, Path) and ast.start is None and ast.steps == (Step("self", Test("node")),)):
             return df, of("")
         tag = self.fresh()
-        found = self.evaluate(ast, self.inner(df)).withColumn("_n", of("")).groupBy("it").agg(F.min_by("_n", F.struct(*N.KEY)).alias("_x"))
+        found = self.evaluate(ast, self.inner(df, ast)).withColumn("_n", of("")).groupBy("it").agg(F.min_by("_n", F.struct(*N.KEY)).alias("_x"))
         return (out := self.attach(df, found, {tag: (F.col("_x"), "")})), out[tag]
 
     # --- functions that return nodes
@@ -625,7 +695,7 @@ class Engine:
             steps = match.steps if match.start == "root" else (Step("descendant", match.steps[0].test, match.steps[0].predicates) if match.steps[0].axis == "child" else match.steps[0], *match.steps[1:])
             found = self.evaluate(Path("root", steps), None)
             if self.kind(use) == NODES and self.own_attribute(use) is None:
-                values = self.with_string(self.evaluate(use, self.inner(found)), use).select("it", F.col("_s").alias("_value")).distinct()
+                values = self.with_string(self.evaluate(use, self.inner(found, use)), use).select("it", F.col("_s").alias("_value")).distinct()
                 out = found.drop("it").join(values, [F.col(c) == F.col(f"it.{c}") for c in N.KEY]).drop("it")
             else:
                 own = self.own_attribute(use)
@@ -671,7 +741,11 @@ class Engine:
         if name in ("node-set", "revert-nodeset"):
             return self.evaluate(args[0], context)
         if name == "current":
-            return context
+            here = self.outer(context, "#current")
+            if here is None:
+                return context
+            wanted = context.select("it", *[here.getField(c).alias(f"_{c}") for c in N.KEY]).distinct()
+            return wanted.join(self.nodes, [F.col(c) == F.col(f"_{c}") for c in N.KEY]).select("it", *N.COLUMNS)
         if name in ("intersect", "except"):
             one, two = self.evaluate(args[0], context), self.evaluate(args[1], context).select("it", *N.KEY)
             return one.join(two, ["it", *N.KEY], "left_semi" if name == "intersect" else "left_anti").select("it", *N.COLUMNS)
@@ -683,5 +757,24 @@ class Engine:
         raise XPathError(f"no function {name!r} that returns nodes")
 
 
+def walk(ast) -> Iterator:
+    """All parts of a syntax tree."""
+    if isinstance(ast, tuple):
+        for x in ast:
+            yield from walk(x)
+    elif is_dataclass(ast):
+        yield ast
+        for f in fields(ast):
+            yield from walk(getattr(ast, f.name))
+
+
+def current_attribute(ast) -> bool:
+    """Whether it is current()/@name, with a name of no namespace."""
+    if not (isinstance(ast, Path) and ast.start == Call("current") and len(ast.steps) == 1):
+        return False
+    step = ast.steps[0]
+    return step.axis == "attribute" and step.test.kind == "name" and step.test.local != "*" and step.test.prefix == "" and not step.predicates
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -9,6 +9,8 @@ nodes, and of elements without element children; other elements' string values a
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,3 +78,17 @@ def problems(nodes: DataFrame) -> DataFrame:
     bad = joined.select("doc_id", "pre", F.explode(found).alias("problem"))
     twice = tree.groupBy("doc_id", "pre").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "pre", F.lit("number used twice").alias("problem"))
     return bad.unionByName(twice)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and written to the checkpoint folder, so that neither its plan nor its lineage grows with the rounds before it.
+
+    The folder is the one that spark.checkpoint.dir names; where none is named, a local one, if Spark itself is local.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sylva-"))
+    return df.checkpoint()

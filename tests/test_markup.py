@@ -39,6 +39,7 @@ def test_paths(book):
     assert texts(e, "//d/following::*/@id") == ["2", "3"]
     assert texts(e, "//c[last()]/@id") == ["3", "9"]
     assert texts(e, "//d/namespace::p") == ["urn:p"]
+    assert texts(e, "//c[@id = current()//d/../@id]/@id") == ["1"]
     assert texts(e, "//*[local-name()='c']/@id") == ["1", "2", "3", "9"]
 
 
@@ -62,6 +63,14 @@ def test_values(book, expression, value):
     assert Engine(book.where("doc_id = 1")).value(expression).first()["value"] == value
 
 
+def test_current_is_the_outermost_node(spark):
+    df = spark.createDataFrame([(1, "<r><a x='1' y='2'/><a x='2' y='2'/><a x='3' y='9'/></r>")], "doc_id long, xml string")
+    e = Engine(shred(df, "doc_id", "xml"))
+    got = e.table("//a", x="number(@x)", n="count(//a[@x = current()/@y])", m="count(//a[@x != current()/@x])", up="count(//a[@x < current()/@y])").orderBy("x").collect()
+    assert [tuple(r) for r in got] == [(1.0, 1.0, 2.0, 1.0), (2.0, 1.0, 2.0, 1.0), (3.0, 0.0, 2.0, 3.0)]
+    assert e.value("count(//a[@x != //a/@y])").first()["value"] == 3.0
+
+
 def test_errors(book):
     from sylva.plans.xpath import XPathError
 

@@ -39,8 +39,28 @@ CASES = {
 }
 
 
-#: The suite runs some; SLOW=1 in the environment runs all.
-QUICK = ("for-each", "templates", "choose", "variable", "copy-of")
+CASES |= {
+    "attribute of parts": ('<xsl:template match="/"><o><xsl:attribute name="a">pre-<xsl:value-of select="count(//p)"/>-post</xsl:attribute></o></xsl:template>', '<o a="pre-2-post"></o>'),
+    "attribute of instructions": ('<xsl:template match="p"><o><xsl:attribute name="a{@n}">v<xsl:if test="i">has</xsl:if><xsl:for-each select="i">!</xsl:for-each></xsl:attribute></o></xsl:template>', '<o a2="vhas!">' + "</o>" + '<o a1="v"></o>'),
+    "comment of instructions": ('<xsl:template match="/"><o><xsl:comment>a<xsl:if test="r">b</xsl:if></xsl:comment></o></xsl:template>', "<o><!--ab--></o>"),
+    "variable with content": ('<xsl:template match="p"><xsl:variable name="v">x<xsl:value-of select="@n"/></xsl:variable>[<xsl:value-of select="$v"/>]</xsl:template>', "[x2][x1]"),
+    "variable with a tree": ('<xsl:template match="p"><xsl:variable name="v"><t k="{@n}"><xsl:for-each select="i"><u/></xsl:for-each>z</t></xsl:variable><xsl:copy-of select="$v"/><xsl:value-of select="$v"/></xsl:template>', '<t k="2"><u></u>z</t>z<t k="1">z</t>z'),
+    "variable of nodes": ('<xsl:template match="/"><xsl:for-each select="r/p"><xsl:variable name="v" select="@n | i"/><xsl:value-of select="count($v)"/><xsl:for-each select="$v">(<xsl:value-of select="."/>)</xsl:for-each></xsl:for-each></xsl:template>', "2(2)(x)1(1)"),
+    "variable in a predicate": ('<xsl:template match="p"><xsl:variable name="v" select="@n"/><xsl:value-of select="count(//p[@n = $v])"/><xsl:value-of select="count(//p[@n &gt;= $v])"/>,</xsl:template>', "11,12,"),
+    "current": ('<xsl:template match="p"><xsl:value-of select="count(//p[@n &lt;= current()/@n])"/>,</xsl:template>', "2,1,"),
+    "computed global": ('<xsl:variable name="g" select="count(//p) * 10"/><xsl:template match="p"><xsl:value-of select="$g + @n"/>,</xsl:template>', "22,21,"),
+    "recursion": ('<xsl:template match="/"><xsl:call-template name="f"><xsl:with-param name="n" select="3"/></xsl:call-template></xsl:template><xsl:template name="f"><xsl:param name="n" select="0"/><xsl:if test="$n &gt; 0"><v><xsl:value-of select="$n"/></v><xsl:call-template name="f"><xsl:with-param name="n" select="$n - 1"/></xsl:call-template></xsl:if></xsl:template>', "<v>3</v><v>2</v><v>1</v>"),
+    "number any": ('<xsl:template match="p|q"><xsl:number level="any" count="p" format="a"/>,</xsl:template>', "a,b,b,"),
+    "number single": ('<xsl:template match="p"><xsl:number count="p" format="(1)"/></xsl:template>', "(1)(2)"),
+    "number multiple": ('<xsl:template match="i|q"><xsl:number level="multiple" format="1.a"/>;</xsl:template><xsl:template match="text()"/>', "1.a.a;1.c;"),
+    "attribute set": ('<xsl:attribute-set name="s"><xsl:attribute name="a">1</xsl:attribute><xsl:attribute name="b">2</xsl:attribute></xsl:attribute-set><xsl:template match="/"><o xsl:use-attribute-sets="s" b="3"/></xsl:template>', '<o a="1" b="3"></o>'),
+    "namespace alias": ('<xsl:namespace-alias stylesheet-prefix="x" result-prefix="#default"/><xsl:template match="/"><x:o xmlns:x="urn:x"/></xsl:template>', "<o></o>"),
+    "parameters of apply-templates": ('<xsl:template match="r"><xsl:apply-templates select="p"><xsl:with-param name="k" select="\'K\'"/></xsl:apply-templates></xsl:template><xsl:template match="p"><xsl:param name="k" select="\'none\'"/><xsl:param name="m" select="\'M\'"/><xsl:value-of select="concat($k, $m, @n)"/>,</xsl:template>', "KM2,KM1,"),
+}
+
+
+#: A case takes 10 to 40 seconds here, so the suite runs these; SLOW=1 in the environment runs all.
+QUICK = ("for-each", "templates", "choose", "copy-of", "attribute of instructions", "recursion", "variable of nodes", "current", "computed global")
 
 
 @pytest.mark.parametrize("case", CASES if os.environ.get("SLOW") else QUICK)
@@ -52,10 +72,12 @@ def test_cases(nodes, case):
 def test_parameters_and_imports(nodes):
     body = '<xsl:param name="g" select="\'d\'"/><xsl:template match="/"><xsl:value-of select="$g"/></xsl:template>'
     assert run(nodes, body, params={"g": "given"}) == "given"
-    if not os.environ.get("SLOW"):
-        return
-    other = HEAD + '<xsl:template match="p">imported</xsl:template></xsl:stylesheet>'
+    other = HEAD + '<xsl:template match="p" priority="9">imported</xsl:template></xsl:stylesheet>'
     assert run(nodes, '<xsl:import href="x"/>', 2, resolve={"x": other}.get) == "imported"
+    over = '<xsl:import href="x"/><xsl:template match="p">(<xsl:apply-imports/>)</xsl:template>'
+    assert run(nodes, over, 2, resolve={"x": other}.get) == "(imported)"
+    with pytest.raises(StylesheetError):
+        run(nodes, '<xsl:import href="x"/>', 2, resolve={"x": HEAD + '<xsl:import href="x"/></xsl:stylesheet>'}.get)
 
 
 def test_mistakes(nodes):
