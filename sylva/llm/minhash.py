@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Lately
-from .common import docs_of, forget, small_batches, stored
+from .common import docs_of, forget, releasing, small_batches, stored
 from .components import components
 
 WORDS, CHUNKS, LENGTH, FAR = 5, 20, 5, 55
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sig.append(signer.sign(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "digest", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
+    return docs.mapInArrow(releasing(run), "doc_id long, n_shingles long, digest binary, sig array<int>")
 
 
 def keys(nodes: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def loose_links(nodes: DataFrame, members: int = MEMBERS) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         return runs_of(batches, "cell", by_signature)
 
-    found = together.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "sig").mapInArrow(run, "a long, b long")
+    found = together.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "sig").mapInArrow(releasing(run), "a long, b long")
     found = stored(found, "loose")
     forget(met)
     return found
@@ -226,7 +226,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int, at_once: i
     def run(batches) -> Iterator[pa.RecordBatch]:
         return runs_of(batches, "cell", Confirm(percent).links)
 
-    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long")
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(releasing(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", members: int = MEMBERS, at_once: int = AT_ONCE) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import forget, small_batches, stored
+from .common import forget, releasing, small_batches, stored
 
 GRAM = 32
 BASE = 0x9E3779B97F4A7C15
@@ -206,7 +206,7 @@ def anchors(docs: DataFrame, width: int, piece: int = PIECE, texts: int = TEXTS)
             some = ~twice
             yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(near[some, 0]), pa.array(near[some, 1]), pa.array(did[some]), pa.array(pos[some].astype(np.int32)), pa.array(again[some])], ["h", "n1", "n2", "did", "pos", "repeats"])
 
-    return docs.mapInArrow(run, "h long, n1 long, n2 long, did long, pos int, repeats boolean")
+    return docs.mapInArrow(releasing(run), "h long, n1 long, n2 long, did long, pos int, repeats boolean")
 
 
 # --- contexts of anchors whose neighbourhoods differ
@@ -301,7 +301,7 @@ def contexts_of(joined: DataFrame, width: int) -> DataFrame:
                         rows = []
         yield contexts_batch(rows)
 
-    return joined.mapInArrow(run, CONTEXT)
+    return joined.mapInArrow(releasing(run), CONTEXT)
 
 
 def contexts_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -319,7 +319,7 @@ def halved(contexts: DataFrame, width: int) -> DataFrame:
             columns = [b.column(c).to_pylist() for c in ("did", "pos", "r", "l", "around", "gap")]
             yield contexts_batch([(key, did, p, r2, l2, around, gap) for did, p, r, l, around, gap in zip(*columns, strict=True) for r2, l2, key in halves(around, gap, r, l, reach)])
 
-    return contexts.mapInArrow(run, CONTEXT)
+    return contexts.mapInArrow(releasing(run), CONTEXT)
 
 
 def resolved(contexts: DataFrame, width: int, at_once: int = AT_ONCE) -> DataFrame:
@@ -383,7 +383,7 @@ def resolved(contexts: DataFrame, width: int, at_once: int = AT_ONCE) -> DataFra
         if n:
             yield from spans(more_than_one(pa.Table.from_batches(held).combine_chunks()))
 
-    return contexts.mapInArrow(run, "did long, span long")
+    return contexts.mapInArrow(releasing(run), "did long, span long")
 
 
 def more_than_one(rows: pa.Table) -> pa.Table:
@@ -496,7 +496,7 @@ def remove_repeats(df: DataFrame, width: int = 100, id_col: str = "doc_id", text
             columns = zip(*out, strict=True) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
-    return docs.join(spans.hint("shuffle_hash"), "did", "left").select("did", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
+    return docs.join(spans.hint("shuffle_hash"), "did", "left").select("did", "text", "spans").mapInArrow(releasing(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
 
 
 def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -525,4 +525,4 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
                 columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(releasing(run), docs.schema)

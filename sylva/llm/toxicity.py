@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Lately
-from .common import docs_of, fold, forget, small_batches, stored
+from .common import docs_of, fold, forget, releasing, small_batches, stored
 
 #: Marks of quotation, and words of reporting in the languages of the tests.
 OPENING, CLOSING = "\"“„«‘'‹", "\"”“»’'›"
@@ -219,7 +219,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
             part = terms[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([counts[y][t] for t in part], pa.int64()) for y in (1, 0))], ["term", "with", "without"])
 
-    return sample.mapInArrow(run, "term string, with long, without long").groupBy("term").agg(F.sum("with").alias("with"), F.sum("without").alias("without"))
+    return sample.mapInArrow(releasing(run), "term string, with long, without long").groupBy("term").agg(F.sum("with").alias("with"), F.sum("without").alias("without"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.01) -> list[float]:
@@ -269,7 +269,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
                 words.update(h[3] for h in finder.hits(text)[0] if h[2] and not y)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
 
-    model.harmless = frozenset(r["word"] for r in sample.mapInArrow(near_words, "word string").distinct().collect())
+    model.harmless = frozenset(r["word"] for r in sample.mapInArrow(releasing(near_words), "word string").distinct().collect())
 
     def features(batches) -> Iterator[pa.RecordBatch]:
         finder = Finder(model)
@@ -277,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             rows = [Finder.features(*finder.hits(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(3))], ["y", "a", "b", "c"])
 
-    got = np.array([tuple(r) for r in sample.mapInArrow(features, "y int, a double, b double, c double").collect()], float)
+    got = np.array([tuple(r) for r in sample.mapInArrow(releasing(features), "y int, a double, b double, c double").collect()], float)
     forget(sample)
     model.coefficients = logistic(got[:, 1:], got[:, 0], np.ones(len(got)))
     return model
@@ -304,7 +304,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= at) for s in scores], pa.int32())], ["doc_id", "score", "predicted"])
 
     small_batches(df.sparkSession)
-    return docs_of(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs_of(df, id_col, text_col).mapInArrow(releasing(run), "doc_id long, score double, predicted int")
 
 
 def toxicity(df: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -332,4 +332,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, at: float = 0.7, **how)
             yield b.filter(pa.array([finder.score(t) < at for t in b.column(place).to_pylist()], pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
