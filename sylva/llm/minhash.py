@@ -39,7 +39,7 @@ class Shingles:
     """Sets of hashed word shingles: 64 bits each, in ascending order."""
 
     def __init__(self):
-        self.known = Lately(xxhash.xxh64_intdigest, 400_000)
+        self.known = Lately(xxhash.xxh64_intdigest, 150_000)
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only

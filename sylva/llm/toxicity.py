@@ -132,7 +132,7 @@ class Finder:
         self.model = model
         self.machine = Machine(sorted(w for w in model.weights if not w.endswith("*")))
         self.stems = {w[:-1] for w in model.weights if w.endswith("*")}
-        self.known = Lately(self.of_piece, 400_000)
+        self.known = Lately(self.of_piece, 150_000)
 
     def of_word(self, word: str) -> tuple[str, float, int] | None:
         """(term, weight, edits)"""
