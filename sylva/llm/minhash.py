@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Lately
@@ -145,18 +145,27 @@ def runs_of(batches, key: str, work: Callable[[pa.Table], Iterator[tuple[int, in
 
 
 def by_signature(rows: pa.Table) -> list[tuple[int, int]]:
+    """Trees of near signatures; where components are known, one link of each two that it joins."""
     nodes = rows.column("node").to_numpy()
     sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
     if len(nodes) == 2:
         return [(nodes[0], nodes[1])] if (sig[0] != sig[1]).sum() <= FAR else []
     sig = np.ascontiguousarray(sig.astype(np.uint16))
-    return [(nodes[i], nodes[j]) for i, j in tree(len(nodes), lambda i, rest: (sig[rest] != sig[i]).sum(1) <= FAR)]
+    if "component" not in rows.column_names:
+        return [(nodes[i], nodes[j]) for i, j in tree(len(nodes), lambda i, rest: (sig[rest] != sig[i]).sum(1) <= FAR)]
+    of = rows.column("component").to_numpy()
+    links = tree(len(nodes), lambda i, rest: (of[rest] == of[i]) | ((sig[rest] != sig[i]).sum(1) <= FAR))
+    return list({(min(of[i], of[j]), max(of[i], of[j])): (nodes[i], nodes[j]) for i, j in links if of[i] != of[j]}.values())
 
 
-def cells(rows: DataFrame, name: str, parts) -> DataFrame:
+def part_of(name: str, parts: str) -> Column:
+    """The part of its group that a node is in; in each group other nodes are together."""
+    return F.pmod(F.xxhash64("node", name), F.col(parts)).cast("int")
+
+
+def cells(rows: DataFrame, name: str, parts: str) -> DataFrame:
     """``rows`` (node, name and ``parts`` parts a group) with the cells that each is in: pairs (p, q) of its group's parts, p its own or q."""
-    part = F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
-    dealt = rows.withColumn("part", part)
+    dealt = rows.withColumn("part", part_of(name, parts))
     alone = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
     others = F.filter(F.sequence(F.lit(0), F.col(parts) - 1), lambda q: q != F.col("part"))
     pairs = F.transform(others, lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
@@ -164,20 +173,37 @@ def cells(rows: DataFrame, name: str, parts) -> DataFrame:
 
 
 def loose_links(nodes: DataFrame, members: int = MEMBERS) -> DataFrame:
-    """a, b: trees of nodes that share a key and have near signatures."""
+    """a, b: trees of nodes that share a key and have near signatures.
+
+    A key of more than ``members`` is dealt into parts. Each part is searched by itself first; as the parts of another key hold other nodes
+    together, that joins most of a large group. Then the parts of keys that still hold several components meet two by two.
+    """
     keyed = keys(nodes)
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).cast("string").alias("who")).where("n > 1")
     # the same members under many keys are looked at once
     met = stored(met.groupBy("n", "low", "high", "who").agg(F.min("key").alias("key")).select("key", "n", "low", "high"), "met")
     pairs = met.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("node"), F.lit(1).alias("parts"))
     many = keyed.join(met.where("n > 2").select("key", F.ceil(F.col("n") / members).cast("int").alias("parts")), "key").select("key", "node", "parts")
-    together = cells(pairs.unionByName(many), "key", "parts").join(nodes.select("node", "sig"), "node")
+    own = pairs.unionByName(many).select("node", F.xxhash64("key", part_of("key", "parts")).alias("cell"))
+    signed = nodes.select("node", "sig")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         return runs_of(batches, "cell", by_signature)
 
-    found = together.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "sig").mapInArrow(releasing(run), "a long, b long")
-    found = stored(found, "loose")
+    def linked(together: DataFrame) -> DataFrame:
+        return stored(together.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(releasing(run), "a long, b long"), "loose")
+
+    found = linked(own.join(signed, "node").select("cell", "node", "sig"))
+    if not met.where(F.col("n") > members).isEmpty():
+        stars = components(found)
+        component = F.coalesce("component", "node").alias("component")
+        apart = many.where("parts > 1").join(stars, "node", "left").select("key", "node", "parts", component)
+        several = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        across = cells(apart.join(several, "key", "left_semi"), "key", "parts")
+        joined = linked(across.join(signed, "node").join(stars, "node", "left").select("cell", "node", component, "sig"))
+        both = stored(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(joined), "loose")
+        forget(found, stars, joined)
+        found = both
     forget(met)
     return found
 
