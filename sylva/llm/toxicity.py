@@ -71,12 +71,13 @@ class Machine:
 
     def state(self, best: dict[int, int]) -> int:
         """The state for these nodes and edits, with all that dropping letters of the terms leads to."""
+        children, reach = self.children, self.reach
         todo = list(best.items())
         while todo:
             node, e = todo.pop()
-            if best[node] == e:
-                for child in self.children[node].values():
-                    if e + 1 <= self.reach[child] and e + 1 < best.get(child, 99):
+            if e < reach[node] and best[node] == e:
+                for child in children[node].values():
+                    if e < reach[child] and e + 1 < best.get(child, 99):
                         best[child] = e + 1
                         todo.append((child, e + 1))
         if not best:
@@ -92,14 +93,18 @@ class Machine:
 
     def move(self, state: int, c: str) -> int:
         best: dict[int, int] = {}
+        children, reach = self.children, self.reach
         for x in memoryview(self.states[state]).cast("I"):
             node, e = x >> 2, x & 3
-            for d, child in self.children[node].items():
-                cost = e + (c != d)
-                if cost <= self.reach[child] and cost < best.get(child, 99):
-                    best[child] = cost
-            if e + 1 <= self.reach[node] and e + 1 < best.get(node, 99):
-                best[node] = e + 1
+            same = children[node].get(c)
+            if same is not None and e <= reach[same] and e < best.get(same, 99):
+                best[same] = e
+            if e < reach[node]:  # one more edit: the letter is another than the term's, or one too many
+                for child in children[node].values():
+                    if e < reach[child] and e + 1 < best.get(child, 99):
+                        best[child] = e + 1
+                if e + 1 < best.get(node, 99):
+                    best[node] = e + 1
         return self.state(best)
 
     def nearest(self, word: str) -> tuple[int, int] | None:
