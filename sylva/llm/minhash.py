@@ -12,7 +12,7 @@ Documents with equal sets are one node from the start. Where keys bring nodes to
 pairs of a group written: within a key and within a group, a search from node to node leaves a tree.
 
 A key or a loose group of any size is dealt into parts of bounded size, and every two parts meet in a task of their own. So
-tasks stay small, but a group's rows are read once for each of its parts.
+tasks stay small, but a group's rows are read once for each of its parts. Links within a part are written once.
 """
 
 from __future__ import annotations
@@ -103,10 +103,12 @@ def keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.array(*out)).alias("key"))
 
 
-def tree(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect 0..n-1 as ``near`` does, searched breadth first. near(i, others): which of others are linked to i."""
+Near = Callable[[int, np.ndarray], np.ndarray]
+
+
+def tree(rest: np.ndarray, near: Near) -> list[tuple[int, int]]:
+    """Links that connect ``rest`` as ``near`` does, searched breadth first. near(i, others): which of others are linked to i."""
     out = []
-    rest = np.arange(n)
     while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
@@ -120,6 +122,24 @@ def tree(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[in
     return out
 
 
+def joined(role: np.ndarray, search: Callable[[], Near]) -> list[tuple[int, int]]:
+    """Links that connect the members of a cell: each of its two parts is searched by itself first, then both together, where one
+    link is enough for two components. ``role`` is the part (0 or 1), and 2 more in the one cell that tells of a part's own links.
+    """
+    out, of = [], np.arange(len(role))
+    sides = [np.flatnonzero(role & 1 == side) for side in (0, 1)]
+    for own in sides:
+        links = tree(own, search())
+        for i, j in links:
+            of[j] = of[i]
+        out += [(i, j) for i, j in links if role[i] & 2 or role[j] & 2]
+    if len(sides[0]) and len(sides[1]):
+        near = search()
+        both = tree(np.arange(len(role)), lambda i, rest: (of[rest] == of[i]) | near(i, rest))
+        out += {(min(of[i], of[j]), max(of[i], of[j])): (i, j) for i, j in both if of[i] != of[j]}.values()
+    return out
+
+
 def runs_of(batches, key: str, work: Callable[[pa.Table], Iterator[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) that ``work`` finds in each run of equal keys of sorted rows."""
     held: list[pa.RecordBatch] = []
@@ -144,23 +164,31 @@ def runs_of(batches, key: str, work: Callable[[pa.Table], Iterator[tuple[int, in
         yield done(pa.Table.from_batches(held).combine_chunks())
 
 
+def told(role: np.ndarray) -> bool:
+    """Whether a cell of two members tells of their link."""
+    return bool((role[0] ^ role[1]) & 1 or role[0] & 2)
+
+
 def by_signature(rows: pa.Table) -> list[tuple[int, int]]:
-    nodes = rows.column("node").to_numpy()
+    nodes, role = rows.column("node").to_numpy(), rows.column("role").to_numpy()
     sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
     if len(nodes) == 2:
-        return [(nodes[0], nodes[1])] if (sig[0] != sig[1]).sum() <= FAR else []
+        return [(nodes[0], nodes[1])] if told(role) and (sig[0] != sig[1]).sum() <= FAR else []
     sig = np.ascontiguousarray(sig.astype(np.uint16))
-    return [(nodes[i], nodes[j]) for i, j in tree(len(nodes), lambda i, rest: (sig[rest] != sig[i]).sum(1) <= FAR)]
+    return [(nodes[i], nodes[j]) for i, j in joined(role, lambda: lambda i, rest: (sig[rest] != sig[i]).sum(1) <= FAR)]
+
 
+def cells(rows: DataFrame, name: str, parts: str) -> DataFrame:
+    """``rows`` (node, name and ``parts`` parts a group) with the cells that each is in: pairs (p, q) of its group's parts, p its own or q.
 
-def cells(rows: DataFrame, name: str, parts) -> DataFrame:
-    """``rows`` (node, name and ``parts`` parts a group) with the cells that each is in: pairs (p, q) of its group's parts, p its own or q."""
-    part = F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
-    dealt = rows.withColumn("part", part)
-    alone = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))
+    A node's role in a cell is 0 (in p) or 1 (in q), and 2 more where q follows its own part: links within a part are told of in that cell alone.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col(parts)).cast("int"))
+    alone = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(2).alias("role")))
     others = F.filter(F.sequence(F.lit(0), F.col(parts) - 1), lambda q: q != F.col("part"))
-    pairs = F.transform(others, lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
-    return dealt.select("node", F.explode(F.when(F.col(parts) <= 1, alone).otherwise(pairs)).alias("c"), name).select("node", F.xxhash64(name, "c.p", "c.q").alias("cell"))
+    role = lambda q: (q < F.col("part")).cast("int") + F.when(q == F.pmod(F.col("part") + 1, F.col(parts)), 2).otherwise(0)
+    pairs = F.transform(others, lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q"), role(q).alias("role")))
+    return dealt.select("node", F.explode(F.when(F.col(parts) <= 1, alone).otherwise(pairs)).alias("c"), name).select("node", "c.role", F.xxhash64(name, "c.p", "c.q").alias("cell"))
 
 
 def loose_links(nodes: DataFrame, members: int = MEMBERS) -> DataFrame:
@@ -176,7 +204,7 @@ def loose_links(nodes: DataFrame, members: int = MEMBERS) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         return runs_of(batches, "cell", by_signature)
 
-    found = together.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "sig").mapInArrow(releasing(run), "a long, b long")
+    found = together.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", "role", "sig").mapInArrow(releasing(run), "a long, b long")
     found = stored(found, "loose")
     forget(met)
     return found
@@ -189,29 +217,35 @@ class Confirm:
         self.percent, self.shingles = percent, Shingles()
 
     def links(self, rows: pa.Table) -> list[tuple[int, int]]:
-        nodes = rows.column("node").to_numpy()
+        nodes, role = rows.column("node").to_numpy(), rows.column("role").to_numpy()
         sets = [self.shingles.of(t) for t in rows.column("text").to_pylist()]
         sizes = np.array([len(s) for s in sets])
         if len(nodes) == 2:
+            if not told(role):
+                return []
             both = len(np.intersect1d(*sets, assume_unique=True))
             return [(nodes[0], nodes[1])] if 100 * both >= self.percent * (int(sizes.sum()) - both) else []
         names, flat = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         mark = np.zeros(len(names), np.int32)
-        held: dict[str, np.ndarray] = {"rest": None}
 
-        def near(i: int, rest: np.ndarray) -> np.ndarray:
-            if held["rest"] is None or len(rest) < len(held["rest"]) // 2:
-                held["rest"] = rest
-                held["flat"] = np.concatenate([flat[starts[j] : starts[j] + sizes[j]] for j in rest])
-                held["starts"] = np.cumsum(sizes[rest]) - sizes[rest]
-            own = flat[starts[i] : starts[i] + sizes[i]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[held["flat"]], held["starts"])[np.searchsorted(held["rest"], rest)]
-            mark[own] = 0
-            return 100 * both >= self.percent * (sizes[i] + sizes[rest] - both)
+        def search() -> Near:
+            held: dict[str, np.ndarray] = {"rest": None}
+
+            def near(i: int, rest: np.ndarray) -> np.ndarray:
+                if held["rest"] is None or len(rest) < len(held["rest"]) // 2:
+                    held["rest"] = rest
+                    held["flat"] = np.concatenate([flat[starts[j] : starts[j] + sizes[j]] for j in rest])
+                    held["starts"] = np.cumsum(sizes[rest]) - sizes[rest]
+                own = flat[starts[i] : starts[i] + sizes[i]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[held["flat"]], held["starts"])[np.searchsorted(held["rest"], rest)]
+                mark[own] = 0
+                return 100 * both >= self.percent * (sizes[i] + sizes[rest] - both)
+
+            return near
 
-        return [(nodes[i], nodes[j]) for i, j in tree(len(nodes), near)]
+        return [(nodes[i], nodes[j]) for i, j in joined(role, search)]
 
 
 def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int, at_once: int = AT_ONCE) -> DataFrame:
@@ -221,7 +255,7 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, percent: int, at_once: i
     """
     parts = groups.groupBy("group").agg(F.ceil(F.sum("n_shingles") / at_once).cast("int").alias("parts"))
     cell = cells(groups.join(parts, "group"), "group", "parts")
-    rows = docs.join(cell.hint("shuffle_hash"), docs["doc_id"] == cell["node"]).select("cell", "node", "text")
+    rows = docs.join(cell.hint("shuffle_hash"), docs["doc_id"] == cell["node"]).select("cell", "node", "role", "text")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         return runs_of(batches, "cell", Confirm(percent).links)
