@@ -27,6 +27,7 @@ from .common import docs_of, fold, forget, releasing, small_batches, stored
 OPENING, CLOSING = "\"“„«‘'‹", "\"”“»’'›"
 REPORTING = frozenset("said says say wrote writes called quote quoted quotes word words term insult slur heißt sagte nannte wort zitat dit disait mot écrit dijo dice palabra escribió".split())
 STEMS = (5, 6, 7)
+NODES, ENDS = 0, 1
 WINDOW = 6
 MENTION = 0.25
 WORD = re.compile(r"\w+")
@@ -57,19 +58,17 @@ class Machine:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits_for(term))
             self.ends[node] = i
-        #: bounds of what is kept: moves, and bytes of states
-        self.most_moves, self.most_bytes = 400_000, 64 << 20
+        #: bound of the bytes that are kept
+        self.most_bytes = 64 << 20
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[bytes] = []  # nodes times 4 plus edits, as 32-bit numbers in order
-        self.number: dict[bytes, int] = {}
-        self.accepts: list[tuple[int, int] | None] = []
-        self.moves: dict[int, int] = {}  # from a state's number and a letter's
+        #: a state is a table of moves, by letter; under NODES lies what it stands for, and under ENDS the nearest term that may end there
+        self.states: dict[bytes, dict] = {}
         self.held = 0
         self.start = self.state({0: 0})
 
-    def state(self, best: dict[int, int]) -> int:
+    def state(self, best: dict[int, int]) -> dict | None:
         """The state for these nodes and edits, with all that dropping letters of the terms leads to."""
         children, reach = self.children, self.reach
         todo = list(best.items())
@@ -81,20 +80,19 @@ class Machine:
                         best[child] = e + 1
                         todo.append((child, e + 1))
         if not best:
-            return -1
+            return None
         key = array("I", sorted([node << 2 | e for node, e in best.items()])).tobytes()
-        if key not in self.number:
-            self.number[key] = len(self.states)
-            self.states.append(key)
-            self.held += len(key) + 200
+        state = self.states.get(key)
+        if state is None:
             ends = [(e, self.ends[n]) for n, e in best.items() if self.ends[n] >= 0 and e <= edits_for(self.terms[self.ends[n]])]
-            self.accepts.append(min(ends) if ends else None)
-        return self.number[key]
+            state = self.states[key] = {NODES: key, ENDS: min(ends) if ends else None}
+            self.held += len(key) + 350
+        return state
 
-    def move(self, state: int, c: str) -> int:
+    def move(self, state: dict, c: str) -> dict | None:
         best: dict[int, int] = {}
         children, reach = self.children, self.reach
-        for x in memoryview(self.states[state]).cast("I"):
+        for x in memoryview(state[NODES]).cast("I"):
             node, e = x >> 2, x & 3
             same = children[node].get(c)
             if same is not None and e <= reach[same] and e < best.get(same, 99):
@@ -109,18 +107,19 @@ class Machine:
 
     def nearest(self, word: str) -> tuple[int, int] | None:
         """(edits, index of term) of the nearest term within its allowance, ties by index."""
-        if len(self.moves) > self.most_moves or self.held > self.most_bytes:
+        if self.held > self.most_bytes:
             self.clear()
         state = self.start
         for c in word:
-            step = state << 21 | ord(c)
-            after = self.moves.get(step)
+            if c in state:
+                after = state[c]
+            else:
+                after = state[c] = self.move(state, c)
+                self.held += 60
             if after is None:
-                after = self.moves[step] = self.move(state, c)
-            if after < 0:
                 return None
             state = after
-        return self.accepts[state]
+        return state[ENDS]
 
 
 @dataclass

@@ -326,7 +326,7 @@ def test_toxicity(spark):
         w = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 10)))
         near = [(d, i) for i, t in enumerate(sorted(terms)) if (d := distance(w, t)) <= toxicity.edits_for(t)]
         assert machine.nearest(w) == min(near, default=None), w
-    machine.most_moves = 5  # forgets what it knows at nearly every word
+    machine.most_bytes = 5  # forgets what it knows at nearly every word
     for _ in range(300):
         w = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 10)))
         near = [(d, i) for i, t in enumerate(sorted(terms)) if (d := distance(w, t)) <= toxicity.edits_for(t)]
