@@ -34,9 +34,9 @@ def order_tree(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(R.orders(spark, sf_dir), keys=ORDER_KEYS)
 
 
-def of(tree: Callable[[SparkSession, str], DataFrame], query_name: str, expression: str, sql: str, /, *, variables: dict | None = None, **columns: str) -> None:
+def of(tree: Callable[..., DataFrame], query_name: str, expression: str, sql: str, /, *, variables: dict | None = None, **columns: str) -> None:
     """Registers a query: a table of expressions over the nodes that a path selects."""
-    QUERIES[query_name] = lambda spark, sf_dir: Engine(tree(spark, sf_dir), keys=ORDER_KEYS, variables=variables).table(expression, **columns)
+    QUERIES[query_name] = lambda spark, sf_dir: Engine(tree(spark, sf_dir), keys=ORDER_KEYS, variables=variables, only=lambda names: tree(spark, sf_dir, names)).table(expression, **columns)
     ORACLES[query_name] = sql
 
 

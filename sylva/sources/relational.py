@@ -30,10 +30,10 @@ def text_of(c: Column, kind: str) -> Column:
     return c.cast("string")
 
 
-def attributes(df: DataFrame, names: dict[str, str]) -> Column:
-    """A map from attribute names to the texts of columns; nulls are left out at lookups."""
+def attributes(df: DataFrame, names: dict[str, str], only: set[str] | None = None) -> Column:
+    """A map from attribute names, or those of a set, to the texts of columns; nulls are left out at lookups."""
     kinds = dict(df.dtypes)
-    parts = [x for name, column in names.items() for x in (F.lit(name), text_of(F.col(column), kinds[column]))]
+    parts = [x for name, column in names.items() if only is None or name in only for x in (F.lit(name), text_of(F.col(column), kinds[column]))]
     return F.create_map(*parts)
 
 
@@ -66,7 +66,7 @@ def with_text(elements: DataFrame) -> DataFrame:
     return elements.unionByName(texts)
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, only: set[str] | None = None) -> DataFrame:
     """/orders/order[@key @cust @status @price @date @prio]/lineitem[@part @supp @qty @price @disc @rf @ls @ship]"""
     t = tables(spark, sf_dir)
     o, items = t("orders"), t("lineitem")
@@ -75,13 +75,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union(
         [
             top(spark, "orders"),
-            level_two(o, "order", F.col("o_orderkey"), attributes(o, {"key": "o_orderkey", "cust": "o_custkey", "status": "o_orderstatus", "price": "o_totalprice", "date": "o_orderdate", "prio": "o_orderpriority"}), value=F.lit(None)),
-            level_three(items, "lineitem", F.col("l_orderkey"), F.col("place"), attributes(items, {"n": "l_linenumber", "part": "l_partkey", "supp": "l_suppkey", "qty": "l_quantity", "price": "l_extendedprice", "disc": "l_discount", "rf": "l_returnflag", "ls": "l_linestatus", "ship": "l_shipdate"}), value=F.lit("")),
+            level_two(o, "order", F.col("o_orderkey"), attributes(o, {"key": "o_orderkey", "cust": "o_custkey", "status": "o_orderstatus", "price": "o_totalprice", "date": "o_orderdate", "prio": "o_orderpriority"}, only), value=F.lit(None)),
+            level_three(items, "lineitem", F.col("l_orderkey"), F.col("place"), attributes(items, {"n": "l_linenumber", "part": "l_partkey", "supp": "l_suppkey", "qty": "l_quantity", "price": "l_extendedprice", "disc": "l_discount", "rf": "l_returnflag", "ls": "l_linestatus", "ship": "l_shipdate"}, only), value=F.lit("")),
         ]
     )
 
 
-def world(spark: SparkSession, sf_dir: str) -> DataFrame:
+def world(spark: SparkSession, sf_dir: str, only: set[str] | None = None) -> DataFrame:
     """/world/nation[@key @name @region]/(customer or supplier)[@key @bal @seg]"""
     t = tables(spark, sf_dir)
     nation, region, c, s = t("nation"), t("region"), t("customer"), t("supplier")
@@ -91,31 +91,31 @@ def world(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pre = F.shiftleft(F.col("nat").cast("long") + 1, 40) + F.shiftleft((F.col("key").cast("long") + 1) * 2 + F.when(F.col("what") == "customer", 0).otherwise(1), 4)
     parent = F.shiftleft(F.col("nat").cast("long") + 1, 40)
-    nations = n.select(*N.row(doc_id=2, pre=F.shiftleft(F.col("n_nationkey").cast("long") + 1, 40), size=(1 << 40) - 1, level=2, parent=1, sib=F.col("n_nationkey").cast("long") + 1, kind=N.ELEMENT, local="nation", anc=F.array(F.lit(0), F.lit(1)), attrs=attributes(n, {"key": "n_nationkey", "name": "n_name", "region": "r_name"})))
-    people = both.select(*N.row(doc_id=2, pre=pre, size=15, level=3, parent=parent, sib=pre, kind=N.ELEMENT, local=F.col("what"), value=F.lit(""), anc=F.array(F.lit(0), F.lit(1), parent), attrs=attributes(both, {"key": "key", "bal": "bal", "seg": "seg"})))
+    nations = n.select(*N.row(doc_id=2, pre=F.shiftleft(F.col("n_nationkey").cast("long") + 1, 40), size=(1 << 40) - 1, level=2, parent=1, sib=F.col("n_nationkey").cast("long") + 1, kind=N.ELEMENT, local="nation", anc=F.array(F.lit(0), F.lit(1)), attrs=attributes(n, {"key": "n_nationkey", "name": "n_name", "region": "r_name"}, only)))
+    people = both.select(*N.row(doc_id=2, pre=pre, size=15, level=3, parent=parent, sib=pre, kind=N.ELEMENT, local=F.col("what"), value=F.lit(""), anc=F.array(F.lit(0), F.lit(1), parent), attrs=attributes(both, {"key": "key", "bal": "bal", "seg": "seg"}, only)))
     return union([top(spark, "world", 2), nations, people])
 
 
-def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parts(spark: SparkSession, sf_dir: str, only: set[str] | None = None) -> DataFrame:
     """/parts/part[@key @brand @type @size @price]/name/text()"""
     p = tables(spark, sf_dir)("part")
-    part = level_two(p, "part", F.col("p_partkey"), attributes(p, {"key": "p_partkey", "brand": "p_brand", "type": "p_type", "size": "p_size", "price": "p_retailprice"}), 3)
+    part = level_two(p, "part", F.col("p_partkey"), attributes(p, {"key": "p_partkey", "brand": "p_brand", "type": "p_type", "size": "p_size", "price": "p_retailprice"}, only), 3)
     name = with_text(level_three(p, "name", F.col("p_partkey"), F.lit(1), F.create_map().cast("map<string,string>"), 3, F.col("p_name")))
     return union([top(spark, "parts", 3), part, name])
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log(spark: SparkSession, sf_dir: str, only: set[str] | None = None) -> DataFrame:
     """/log/event[@id @user @type @value @ts]"""
     e = tables(spark, sf_dir)("events")
-    return union([top(spark, "log", 4), level_two(e, "event", F.col("event_id"), attributes(e, {"id": "event_id", "user": "user_id", "type": "event_type", "value": "value", "ts": "ts"}), 4, F.lit(""))])
+    return union([top(spark, "log", 4), level_two(e, "event", F.col("event_id"), attributes(e, {"id": "event_id", "user": "user_id", "type": "event_type", "value": "value", "ts": "ts"}, only), 4, F.lit(""))])
 
 
-def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chat(spark: SparkSession, sf_dir: str, only: set[str] | None = None) -> DataFrame:
     """One document per conversation: /conv[@id]/turn[@n @role]/text()"""
     c = tables(spark, sf_dir)("conversations")
     ids = c.select("conv_id").distinct()
     root = ids.select(*N.row(doc_id=F.col("conv_id"), pre=0, size=WHOLE, level=0, kind=N.ROOT, anc=F.array().cast("array<bigint>")))
-    conv = ids.select(*N.row(doc_id=F.col("conv_id"), pre=1, size=WHOLE - 1, level=1, parent=0, kind=N.ELEMENT, local="conv", anc=F.array(F.lit(0)), attrs=attributes(ids, {"id": "conv_id"})))
+    conv = ids.select(*N.row(doc_id=F.col("conv_id"), pre=1, size=WHOLE - 1, level=1, parent=0, kind=N.ELEMENT, local="conv", anc=F.array(F.lit(0)), attrs=attributes(ids, {"id": "conv_id"}, only)))
     pre = F.shiftleft(F.col("turn").cast("long") + 1, 4)
-    turn = c.select(*N.row(doc_id=F.col("conv_id"), pre=pre, size=15, level=2, parent=1, sib=F.col("turn").cast("long") + 1, kind=N.ELEMENT, local="turn", value=F.col("text"), anc=F.array(F.lit(0), F.lit(1)), attrs=attributes(c, {"n": "turn", "role": "role"})))
+    turn = c.select(*N.row(doc_id=F.col("conv_id"), pre=pre, size=15, level=2, parent=1, sib=F.col("turn").cast("long") + 1, kind=N.ELEMENT, local="turn", value=F.col("text"), anc=F.array(F.lit(0), F.lit(1)), attrs=attributes(c, {"n": "turn", "role": "role"}, only)))
     return union([root, conv, with_text(turn)])

@@ -89,3 +89,27 @@ def test_ancestors_of_text(spark):
 def test_ancestors_are_looked_up_once(joined):
     df = queries.QUERIES["axis_ancestor_or_self"](joined, SF)
     assert len(re.findall(r"\bWindow \[", df._jdf.queryExecution().executedPlan().toString())) == 2  # none for lineitems as ancestors
+
+
+@pytest.mark.parametrize("name, most", [("pred_position", 3), ("pred_last", 3), ("pred_position_range", 3), ("pred_chained", 3), ("axis_child", 4), ("axis_attribute_all", 0)])
+def test_no_exchange_for_parents_and_places(joined, name, most):
+    df = queries.QUERIES[name](joined, SF)
+    assert exchanges(df) <= most
+    assert df.count() > 0
+
+
+def test_attributes_of_parents(family):
+    e = Engine(family)
+    values = {"up": "../@v", "r": "parent::r/@v", "s": "string(parent::s/@n)", "n": "number(../@n)", "has": "boolean(../@n)"}
+    assert [tuple(r)[:3] + (r.has,) for r in e.table("//s[@n='x']/@v", **values).collect()] == [("3", "", "x", True)]
+    assert [(r.up, r.has) for r in e.table("/r/g[2]/s[last()]", up="../@v", has="boolean(../@v)").collect()] == [("", False)]
+    assert [r.up for r in e.table("//s[@n='x']/following-sibling::s", up="../@v").collect()] == [""]
+    assert [r.up for r in e.table("//@n[. = 'x']", up="../@v").collect()] == ["3"]
+    assert [r.up for r in e.table("//@n[. = 'x'] | //@n[. = '1']", up="parent::s/@v").orderBy("up").collect()] == ["1", "3"]
+
+
+def test_positions_among_children(family):
+    e = Engine(family)
+    assert sorted(r.n for r in e.table("//g/s[last()]", n="@n").collect()) == ["199", "y"]
+    assert sorted(r.n for r in e.table("//g/s[@v = 3][2]", n="@n").collect()) == ["10"]
+    assert sorted(r.n for r in e.table("//*/*[2]", n="concat(local-name(), @n)").collect()) == ["g", "s0", "sy"]
