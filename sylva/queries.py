@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import ordering, updates, xslt
+from .plans import nodes as N
 from .plans.compile import Engine
 from .sources import markup
 from .sources import relational as R
@@ -148,7 +149,9 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_titles")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = R.tables(spark, sf_dir)("pages")
-    return Engine(markup.shred(pages, "page_id", "html", "html", "normal")).strings("/html/head/title").select("doc_id", F.col("string").alias("title"))
+    # each step and the gathering of texts read the nodes again, so they are parsed once, and only those that the path needs are kept
+    nodes = N.cut(markup.shred(pages, "page_id", "html", "html", "normal", ("html", "head", "title")))
+    return Engine(nodes).strings("/html/head/title").select("doc_id", F.col("string").alias("title"))
 
 
 @query("page_links")

@@ -26,10 +26,14 @@ RAW = frozenset(["script", "style"])
 
 
 class Builder:
-    """Collects the rows of one document; numbers are dense."""
+    """Collects the rows of one document; numbers are dense.
 
-    def __init__(self, doc_id: int, whitespace: str = "all"):
-        self.doc_id, self.whitespace = doc_id, whitespace
+    path: names of elements, the outermost first. Then only the nodes along it and those below its end have rows; numbers
+    and sizes are as without it, but elements above its end have no value.
+    """
+
+    def __init__(self, doc_id: int, whitespace: str = "all", path: tuple[str, ...] = ()):
+        self.doc_id, self.whitespace, self.path, self.count = doc_id, whitespace, path, 0
         self.rows: list[dict] = []
         self.open: list[dict] = []
         self.text: list[str] = []
@@ -40,7 +44,15 @@ class Builder:
         parent = self.open[-1] if self.open else None
         if parent is not None:
             parent["_n"] += 1
-        row = {"doc_id": self.doc_id, "pre": len(self.rows), "aord": 0, "size": 0, "level": len(self.open), "parent": parent["pre"] if parent else None, "sib": parent["_n"] if parent else 1, "kind": kind, "ns": "", "local": "", "prefix": "", "value": None, "anc": [x["pre"] for x in self.open], "attrs": None, "nsdecl": None, "node_id": len(self.rows), "_n": 0, "_plain": True} | given
+        number, level = self.count, len(self.open)
+        self.count += 1
+        if parent is not None and self.path and not (parent["_kept"] and (level > len(self.path) or (kind == N.ELEMENT and (given["ns"], given["local"]) == ("", self.path[level - 1])))):
+            row = {"pre": number, "local": given.get("local", ""), "_n": 0, "_plain": False, "_kept": False}
+            if kind == N.ELEMENT:
+                parent["_plain"] = False
+                self.open.append(row)
+            return row
+        row = {"doc_id": self.doc_id, "pre": number, "aord": 0, "size": 0, "level": level, "parent": parent["pre"] if parent else None, "sib": parent["_n"] if parent else 1, "kind": kind, "ns": "", "local": "", "prefix": "", "value": None, "anc": [x["pre"] for x in self.open], "attrs": None, "nsdecl": None, "node_id": number, "_n": 0, "_plain": level >= len(self.path), "_kept": True, "_at": len(self.rows)} | given
         self.rows.append(row)
         if kind in (N.ROOT, N.ELEMENT):
             if parent is not None:
@@ -63,15 +75,15 @@ class Builder:
         self.flush()
         self.preserve.pop()
         row = self.open.pop()
-        row["size"] = len(self.rows) - 1 - row["pre"]
+        row["size"] = self.count - 1 - row["pre"]
         if row["_plain"]:
-            row["value"] = "".join(r["value"] for r in self.rows[row["pre"] + 1 :] if r["kind"] == N.TEXT)
+            row["value"] = "".join(r["value"] for r in self.rows[row["_at"] + 1 :] if r["kind"] == N.TEXT)
 
     def done(self) -> list[dict]:
         while len(self.open) > 1:
             self.end()
         self.flush()
-        self.rows[0]["size"] = len(self.rows) - 1
+        self.rows[0]["size"] = self.count - 1
         return self.rows
 
 
@@ -80,9 +92,9 @@ def split_name(name: str) -> tuple[str, str, str]:
     return ("", parts[0], "") if len(parts) == 1 else (parts[0], parts[1], parts[2] if len(parts) > 2 else "")
 
 
-def xml_rows(doc_id: int, source: str | bytes, whitespace: str = "all") -> list[dict]:
+def xml_rows(doc_id: int, source: str | bytes, whitespace: str = "all", path: tuple[str, ...] = ()) -> list[dict]:
     """Rows of an XML document, with its entities and namespaces resolved. Raises expat.ExpatError if it is not well formed."""
-    b = Builder(doc_id, whitespace)
+    b = Builder(doc_id, whitespace, path)
     p = expat.ParserCreate(namespace_separator="\n", encoding="utf-8" if isinstance(source, str) else None)
     p.namespace_prefixes = True
     p.ordered_attributes = True
@@ -150,25 +162,36 @@ class Html(HTMLParser):
         self.b.add(N.COMMENT, value=data)
 
 
-def html_rows(doc_id: int, source: str, whitespace: str = "normal") -> list[dict]:
-    b = Builder(doc_id, whitespace)
+def html_rows(doc_id: int, source: str, whitespace: str = "normal", path: tuple[str, ...] = ()) -> list[dict]:
+    b = Builder(doc_id, whitespace, path)
     parser = Html(b)
     parser.feed(source)
     parser.close()
     return b.done()
 
 
-def shred(df: DataFrame, id_col: str, text_col: str, form: str = "xml", whitespace: str = "all") -> DataFrame:
-    """The node table of the documents in a column (string or binary). Null documents have no nodes."""
+def shred(df: DataFrame, id_col: str, text_col: str, form: str = "xml", whitespace: str = "all", path: tuple[str, ...] = ()) -> DataFrame:
+    """The node table of the documents in a column (string or binary). Null documents have no nodes. path: see ``Builder``."""
     schema = to_arrow_schema(N.SCHEMA)
     parse = {"xml": xml_rows, "html": html_rows}[form]
 
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        columns = {k: [r[k] for r in rows] for k in N.COLUMNS}
+        for k in ("attrs", "nsdecl"):
+            columns[k] = [None if x is None else list(x.items()) for x in columns[k]]
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows: list[dict] = []
             for doc_id, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if source is not None:
-                    rows = parse(doc_id, source, whitespace)
-                    yield pa.RecordBatch.from_pylist([{k: list(r[k].items()) if k in ("attrs", "nsdecl") and r[k] is not None else r[k] for k in N.COLUMNS} for r in rows], schema)
+                    rows += parse(doc_id, source, whitespace, path)
+                if len(rows) >= 1000:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return df.select(df[id_col].cast("long"), df[text_col]).mapInArrow(run, N.SCHEMA)

@@ -138,3 +138,24 @@ def test_sorting(spark):
     assert [r.v for r in ordering.ranked(numeric, [{"key": F.col("v"), "type": "number"}]).orderBy("rank").collect()] == ["x", "9", "10"]
     with pytest.raises(ValueError):
         ordering.sort_columns([{"key": F.col("v"), "type": "date"}])
+
+
+def test_only_a_path(spark):
+    page = "<html><body>no</body><head>t<title>a<b>c</b>d</title><meta><title>e</title></head><p><title>f</title></p><head><title/></head></html>"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<title>g</title>"), (4, "")], "doc_id long, html string")
+    whole, some = (shred(df, "doc_id", "html", "html", "normal", path) for path in ((), ("html", "head", "title")))
+    assert texts(Engine(some), "/html/head/title") == texts(Engine(whole), "/html/head/title")
+    assert len(texts(Engine(some), "/html/head/title")) == 3
+    numbers = [[tuple(r) for r in n.where("local in ('html', 'head', 'title') or kind = 'root'").select("doc_id", "pre", "size", "level", "parent", "sib", "anc").collect()] for n in (whole, some)]
+    assert {str(x) for x in numbers[1]} < {str(x) for x in numbers[0]}
+    assert some.count() < whole.count()
+
+
+def test_titles_are_parsed_once(spark):
+    from sylva import queries
+
+    df = queries.QUERIES["page_titles"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    whole = Engine(shred(pages, "page_id", "html", "html", "normal")).strings("/html/head/title").select("doc_id", "string")
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, whole.collect()))
