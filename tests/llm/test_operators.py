@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -450,3 +451,60 @@ def test_lm_trains_on_all_training_documents(docs, rows, monkeypatch):
     monkeypatch.setattr(lm, "averaged", lambda some, *how: given.append(Counter(r.text for r in some.collect())) or averaged(some, *how))
     assert lm.scores(docs, hot=50).count() == len(rows)
     assert given and all(g == Counter(t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2) for g in given)
+
+
+def test_lm_scores_in_a_small_space():
+    rng = np.random.default_rng(5)
+    n, order, tokens = 3000, 3, 40_000
+    model = lm.Model(np.sort(rng.random(n) + 1e-3)[::-1] / n, 8, order)
+    context, target = rng.integers(0, n, (order, tokens)), rng.integers(0, n, tokens)
+    tracemalloc.start()
+    got = model.log_probabilities(context, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # numbers of a core's cache, and some for each token; whole blocks of scores took 11 MB
+
+    def plain(c, w):
+        q = sum(model.before[i, c[i]].astype(float) for i in range(order))
+        low = w // model.width * model.width
+        tops, own = model.tops @ q + model.top_bias, model.vectors[low : low + model.width] @ q + model.bias[low : low + model.width]
+        return tops[w // model.width] - np.logaddexp.reduce(tops) + own[w - low] - np.logaddexp.reduce(own)
+
+    some = range(0, tokens, 400)
+    assert [got[i] for i in some] == pytest.approx([plain(context[:, i], target[i]) for i in some], abs=1e-4)
+    for far in (300, -300):  # scores whose exponentials are no floats of 32 bits
+        model.top_bias += np.float32(far)
+        model.bias -= np.float32(far)
+        got = model.log_probabilities(context[:, :50], target[:50])
+        assert got == pytest.approx([plain(context[:, i], target[i]) for i in range(50)], abs=1e-2)
+        model.top_bias -= np.float32(far)
+        model.bias += np.float32(far)
+    model.tops[0] *= 3000  # sums of very different sizes, side by side
+    model.vectors[:200] *= 3000
+    got = model.log_probabilities(context[:, :500], target[:500])
+    assert np.isfinite(got).all() and got == pytest.approx([plain(context[:, i], target[i]) for i in range(500)], abs=1e-2, rel=1e-4)
+
+
+def test_lm_sums_and_places():
+    rng = np.random.default_rng(6)
+    for shape in ((900, 6), (900, 5), (900,), (1, 4), (1,)):
+        rows, grads = rng.integers(0, 40, shape[0]) ** 2, rng.standard_normal(shape).astype(np.float32)
+        whole = np.zeros((1600, *shape[1:]), np.float32)
+        np.add.at(whole, rows, grads)
+        found, sums = lm.sums_by(rows, grads, 1600)
+        assert found.tolist() == sorted(set(rows.tolist())) and sums.dtype == np.float32
+        assert sums == pytest.approx(whole[found], abs=1e-4)
+    for n in (1, 5, 300):
+        cut = np.append(0, np.cumsum(rng.random(n) ** 4))
+        x = np.concatenate([rng.random(3000) * cut[-1], cut])
+        assert (lm.Places(cut).of(x) == np.searchsorted(cut, x, "right") - 1).all()
+    classes = lm.Classes([b"a", b"bcd"], 3)
+    some = [b"a", b"xbcd", b"bcd", b"", b"q", b"yxbcd"]
+    assert classes.of_all(some).tolist() == [classes.of(w) for w in some] and len(classes.of_all([])) == 0
+
+
+def test_lm_counts(spark):
+    texts = ["a A  b\n", " ", None, "", "b\ta", "É é", "ab" * 50 + " b"]
+    for most in (1, 1000):
+        got = {bytes(r.word): r.c for r in lm.counts_of(spark.createDataFrame([(t,) for t in texts], "text string"), most).collect()}
+        assert got == Counter(w for t in texts for w in lm.words(t))
