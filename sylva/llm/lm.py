@@ -96,7 +96,7 @@ class Model:
             q += self.before[i].take(context[i], 0)
         return q
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray, at_once: int = 512) -> np.ndarray:
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray, at_once: int = 1024) -> np.ndarray:
         """Natural logs, normalised over all classes.
 
         Tokens are taken by the cluster of their class, ``at_once`` at a time: one product gives their scores for all clusters and
